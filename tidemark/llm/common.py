@@ -99,12 +99,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     before the shuffle) joined back to the links, so that a star with very many leaves is never one row.
     """
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = forest(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["u", "v"])
-
-    links, before = cut(edges.select("u", "v").filter("u <> v").mapInArrow(shrink, "u long, v long").distinct()), None
+    links, before = cut(edges.selectExpr("greatest(u, v) u", "least(u, v) v").filter("u <> v").distinct()), None
     for _ in range(rounds):
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:

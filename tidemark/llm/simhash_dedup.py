@@ -108,12 +108,13 @@ def _near_pairs(members: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each run of equal keys; rows come sorted by key."""
-    held_key, held = None, np.empty(0, np.int64)
+    """Spanning links of each run of equal keys; rows come sorted by key. Links of several runs are merged."""
+    held_key, held, found = None, np.empty(0, np.int64), []
 
-    def close(lists: list[np.ndarray]) -> pa.RecordBatch:
-        found = [x for fps in lists if len(fps) > 1 for x in forest(_near_pairs(fps))]
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
+    def send() -> pa.RecordBatch:
+        merged = forest(found)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in merged], pa.int64()), pa.array([b for _, b in merged], pa.int64())], names=["u", "v"])
 
     for batch in batches:
         keys, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -126,9 +127,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elif held_key is not None:
             parts.insert(0, held)
         held_key, held = keys[-1], parts.pop()
-        yield close(parts)
-    if held_key is not None:
-        yield close([held])
+        for part in parts:
+            if len(part) > 1:
+                found.extend(forest(_near_pairs(part)))
+                if len(found) > 1 << 16:
+                    yield send()
+    found.extend(forest(_near_pairs(held)))
+    yield send()
 
 
 def links(nodes: DataFrame, split_at: int = 512) -> DataFrame:
