@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, lang_id, license_scan, line_dedup, mixing, quality, simhash_dedup
+from tidemark.llm import chat_format, decontaminate, lang_id, license_scan, line_dedup, mixing, quality, simhash_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,56 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+#: A conversation whose texts are made of the template's own control strings.
+HARD = "(-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')"
+
+
+@query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.sql(f"SELECT * FROM VALUES {HARD} AS t(conv_id, turn, role, text)"))
+    back = chat_format.read_back(chat_format.format_conversations(rows))
+    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "bad_turns",
+    )
+
+
+ORACLES["op5_chat_format"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), control AS (
+    SELECT unnest(['<<SYS>>', '<</SYS>>', '<s>', '</s>', '[INST]', '[/INST]', '<<OUT>>', '<<ROLE>>', '<</ROLE>>', '<</TURN>>']) AS c
+), sized AS (
+    SELECT turns.*,
+           length(text) + length(text) - length(replace(text, chr(92), ''))
+           + (SELECT sum((length(text) - length(replace(text, c, ''))) // length(c)) FROM control)
+           + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 18 WHEN 'assistant' THEN 13 END AS chars,
+           lag(role, 1, '') OVER w AS before,
+           lead(role) OVER w IS NULL AS is_last
+    FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), judged AS (
+    SELECT *, NOT ((before = '' AND role IN ('system', 'user')) OR (before = 'system' AND role = 'user')
+                   OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user')) AS bad
+    FROM sized
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars,
+       NOT bool_or(bad) AND bool_or(is_last AND role = 'assistant') AS valid,
+       count(*) FILTER (bad) AS bad_turns
+FROM judged GROUP BY conv_id
+"""
