@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, lang_id, license_scan, line_dedup, mixing, quality, simhash_dedup
+from tidemark.llm import chat_format, decontaminate, lang_id, license_scan, line_dedup, mixing, quality, simhash_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,8 @@ SELECT conv_id, count(*) AS n_turns,
        count(*) FILTER (bad) AS bad_turns
 FROM judged GROUP BY conv_id
 """
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_tokens(table(spark, sf_dir, "documents"))
