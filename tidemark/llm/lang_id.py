@@ -3,7 +3,7 @@
 A text becomes a TF-IDF vector of its byte 1-, 2- and 3-grams, hashed to ``DIMENSIONS`` and scaled to length 1.
 Each language has several centroids, from spherical k-means over a bounded sample of its labelled rows; a text
 gets the language of the centroid with the largest cosine. A text farther from its centroid than
-``reject_ratio`` times the cosine that nearly all of the centroid's own members reach is marked as rejected.
+``reject_ratio`` times the cosine that 99 in 100 of the language's sample reach is marked as rejected.
 
 The fit reads at most about ``sample_rows`` rows of each language: those whose hashed doc_id is lowest. Each
 language's rows meet in one task as vectors of a fixed size; the driver gets the centroids only. Prediction
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-DIMENSIONS, CENTROIDS, SAMPLE_ROWS, REJECT_RATIO = 4096, 4, 256, 0.5
+DIMENSIONS, CENTROIDS, SAMPLE_ROWS, REJECT_RATIO = 4096, 4, 256, 0.25
 UNKNOWN = "und"
 #: Bytes of a text that are turned to grams at once; grams over the border of two blocks are kept.
 BLOCK = 1 << 20
@@ -53,23 +53,24 @@ def scaled(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means; centroids and, for each, the cosine that 99 in 100 of its members reach.
+def cluster(x: np.ndarray, k: int, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Spherical k-means; up to k centroids and the cosine that 99 in 100 of the rows reach.
 
-    It starts from rows at even steps of the order by cosine to the common mean.
+    It starts from rows at even steps of the order by cosine to the common mean. Clusters that still have under
+    3 in 100 of the rows after five rounds are given up, as a few odd texts make no centroid.
     """
     order, k = np.argsort(x @ x.mean(axis=0), kind="stable"), min(k, len(x))
     centers = x[order[(2 * np.arange(k) + 1) * len(x) // (2 * k)]].copy()
-    for _ in range(rounds):
+    for n in range(rounds):
         of = (x @ centers.T).argmax(axis=1)
-        fresh = np.stack([x[of == c].sum(axis=0) if (of == c).any() else centers[c] for c in range(len(centers))])
+        members = np.bincount(of, minlength=len(centers))
+        keep = np.flatnonzero(members >= min(members.max(), 0.03 * len(x) if n >= 5 else 1))
+        fresh = np.stack([x[of == c].sum(axis=0) for c in keep])
         fresh /= np.maximum(np.linalg.norm(fresh, axis=1, keepdims=True), 1e-12)
-        if np.allclose(fresh, centers):
+        if len(fresh) == len(centers) and n > 5 and np.allclose(fresh, centers):
             break
         centers = fresh
-    cosines = x @ centers.T
-    of, best = cosines.argmax(axis=1), cosines.max(axis=1)
-    return centers, np.array([np.quantile(best[of == c], 0.01) if (of == c).any() else 0.0 for c in range(len(centers))])
+    return centers, float(np.quantile((x @ centers.T).max(axis=1), 0.01))
 
 
 @dataclass
