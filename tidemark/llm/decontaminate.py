@@ -47,14 +47,19 @@ def _shingles(words: str) -> Column:
     )
 
 
-def _simhash(shingles: str) -> Column:
+def _simhash(hashes: str) -> Column:
     """Bit k is set if it is in over half of the shingles' hashes."""
     return F.expr(
-        f"aggregate(sequence(0, 63), 0L, (acc, k) -> acc | shiftleft(CAST(size(filter(transform({shingles}, s -> xxhash64(s)),"
-        f" h -> (shiftright(h, k) & 1L) = 1L)) * 2 > size({shingles}) AS BIGINT), k))"
+        f"aggregate(sequence(0, 63), 0L, (acc, k) -> acc | shiftleft(CAST(size(filter({hashes}, h -> (shiftright(h, k) & 1L) = 1L)) * 2"
+        f" > size({hashes}) AS BIGINT), k))"
     )
 
 
+def _with_fingerprint(rows: DataFrame) -> DataFrame:
+    """``rows`` with fp. Shingles and hashes are written first, or each of the 64 bits would compute them again."""
+    return cut(rows.withColumn("shingles", _shingles("words")).withColumn("hashes", F.expr("transform(shingles, s -> xxhash64(s))"))).withColumn("fp", _simhash("hashes"))
+
+
 def _similarity(a: str, b: str) -> Column:
     """Sum of smaller over sum of larger counts of the elements of two arrays; both arrays are item-sized."""
     shared = f"aggregate(array_distinct({a}), 0L, (acc, x) -> acc + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
@@ -63,8 +68,7 @@ def _similarity(a: str, b: str) -> Column:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     rows = benchmark.select(F.col("item_id").cast("long"), words_of(F.col("text")).alias("words")).filter("size(words) > 0")
-    rows = rows.withColumn("shingles", _shingles("words")).withColumn("size", F.size("words"))
-    return rows.withColumn("fp", _simhash("shingles"))
+    return _with_fingerprint(rows.withColumn("size", F.size("words")))
 
 
 def _anchors(items: DataFrame, threshold: float) -> DataFrame:
@@ -130,16 +134,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     laid = laid.select("doc_id", F.expr("greatest(0, at - in_item)").alias("start"), "size", window.alias("window"))
     windows = cut(laid.distinct())
 
-    contents = windows.select("size", "window").distinct().withColumn("words", F.split("window", " ")).withColumn("shingles", _shingles("words"))
-    contents = contents.withColumn("fp", _simhash("shingles")).drop("words")
-    block = lambda fp: F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> struct(b AS block, CAST(shiftright({fp}, b * {64 // BLOCKS}) & 255L AS INT) AS value))")
+    contents = windows.select("size", "window").distinct().withColumn("words", F.split("window", " "))
+    contents = cut(_with_fingerprint(contents).select("size", "window", "fp", "shingles"))
+    block = F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> struct(b AS block, CAST(shiftright(fp, b * {64 // BLOCKS}) & 255L AS INT) AS value))")
     flips = F.array(*[F.lit(x) for x in _FLIPS])
-    listed = items.select("item_id", "size", "fp", "shingles", F.explode(block("fp")).alias("b")).withColumn("flip", F.explode(flips))
-    listed = listed.select("item_id", "size", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"), "b.block", F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
-    probes = contents.select("size", "window", "fp", "shingles", F.explode(block("fp")).alias("b")).select("size", "window", "fp", "shingles", "b.*")
+    listed = items.select("item_id", "size", "fp", F.explode(block).alias("b")).withColumn("flip", F.explode(flips))
+    listed = listed.select("item_id", "size", F.col("fp").alias("item_fp"), "b.block", F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
+    probes = contents.select("size", "window", "fp", F.explode(block).alias("b")).select("size", "window", "fp", "b.*")
     near = probes.join(listed, ["size", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.dropDuplicates(["size", "window", "item_id"]).withColumn("similarity", _similarity("shingles", "item_shingles"))
-    same = cut(near.filter(F.col("similarity") >= threshold).select("size", "window", "item_id", "similarity"))
+    near = near.select("size", "window", "item_id").distinct().join(contents.select("size", "window", "shingles"), ["size", "window"])
+    near = near.join(items.select("item_id", F.col("shingles").alias("item_shingles")), "item_id").withColumn("similarity", _similarity("shingles", "item_shingles"))
+    same = cut(near.select("size", "window", "item_id", "similarity").filter(F.col("similarity") >= threshold))
     found = windows.join(same, ["size", "window"])
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("x"))
     return best.select("doc_id", "item_id", (-F.col("x.col2")).alias("start"), "x.similarity")
