@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, release
 
 LENGTH, GRAM, SHALLOW = 50, 20, 16
-#: Bytes of text hashed at once, anchors packed at once, and records of an anchor that make it hot.
-CHUNK, FLUSH, HOT = 1 << 20, 1 << 21, 128
+#: Bytes of text hashed at once, anchors packed at once, and records of an anchor, of those packed at once or four
+#: times as many of a bucket, that make it hot: a small part of what a bucket holds anyway.
+CHUNK, FLUSH, HOT = 1 << 20, 1 << 21, 4096
 #: Bytes of text for each bucket and shard.
 UNIT_BYTES = 4 << 20
 NO_ID = (1 << 63) - 1
@@ -318,7 +319,7 @@ def _candidates(shards: int, hot_at: int):
             h, d, p = h[order], d[order], p[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             sizes = np.diff(np.append(first, len(h)))
-            hot = np.logical_or.reduceat(p < 0, first) | (sizes > hot_at)
+            hot = np.logical_or.reduceat(p < 0, first) | (sizes > 4 * hot_at)
             several = d[first] != d[first + sizes - 1]
             keep = np.repeat(several, sizes) & (p >= 0)
             doc.append(d[keep])
@@ -411,19 +412,38 @@ def _repeats(length: int):
             least = np.concatenate([unpack(b[i], np.int64) for i in own])
             size = np.concatenate([unpack(c[i], np.int16) for i in own]).astype(np.int64)
             shard = np.repeat([shards[i] for i in own], [len(c[i]) // 2 for i in own])
-            buffer = b"".join(d[i] for i in own)
-            windows = size - length + 1
-            of = np.repeat(np.arange(len(size)), windows)
+            # Runs with the same bytes are sorted once, with the smallest doc_id of all.
+            kinds_of: dict[bytes, int] = {}
+            kind = []
+            for i in own:
+                raw, at = d[i], 0
+                for n in unpack(c[i], np.int16).tolist():
+                    kind.append(kinds_of.setdefault(raw[at : at + n], len(kinds_of)))
+                    at += n
+            kind = np.array(kind)
+            first_of = np.full(len(kinds_of), NO_ID)
+            np.minimum.at(first_of, kind, least)
+            buffer, length_of = b"".join(kinds_of), np.fromiter(map(len, kinds_of), np.int64, len(kinds_of))
+            del kinds_of
+            windows = length_of - length + 1
+            of = np.repeat(np.arange(len(length_of)), windows)
             k = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-            order, rank = deep_shallow_sort(buffer, np.repeat(np.cumsum(size) - size, windows) + k, length)
+            order, rank = deep_shallow_sort(buffer, np.repeat(np.cumsum(length_of) - length_of, windows) + k, length)
             first = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
-            smallest = np.minimum.reduceat(least[of[order]], first)[rank]
+            smallest = np.minimum.reduceat(first_of[of[order]], first)[rank]
             gone = np.zeros(len(of), bool)
-            gone[order] = smallest < least[of[order]]
+            gone[order] = smallest < first_of[of[order]]
             begins = np.flatnonzero(gone & np.concatenate([[True], ~gone[:-1] | (of[1:] != of[:-1])]))
             ends = np.flatnonzero(gone & np.concatenate([~gone[1:] | (of[1:] != of[:-1]), [True]]))
-            which = of[begins]
-            for key, w, f, n in _split(shard[which], which, k[begins], ends - begins + 1):
+            # A run with a larger doc_id than another of the same bytes goes whole, the first one by its stretches.
+            whole = np.flatnonzero(least > first_of[kind])
+            firsts = np.flatnonzero(least == first_of[kind])
+            low, high = np.searchsorted(of[begins], kind[firsts], "left"), np.searchsorted(of[begins], kind[firsts], "right")
+            some = np.repeat(firsts, high - low)
+            which = np.arange(len(some)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+            runs_, froms = np.concatenate([whole, some]), np.concatenate([np.zeros(len(whole), np.int64), k[begins][which]])
+            counts = np.concatenate([size[whole] - length + 1, (ends - begins + 1)[which]])
+            for key, w, f, n in _split(shard[runs_], runs_, froms, counts):
                 rows.append((key, 0, key, pack(number[w]), pack(f.astype(np.int16)), pack(n.astype(np.int16)), None))
         return pa.Table.from_batches([_batch(rows)])
 
@@ -516,7 +536,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, unit_bytes: int = UNIT
     texts = rows.withColumn("shard", F.pmod("id", F.lit(shards)))
 
     found = rows.select("id", "text").mapInArrow(_anchors(length, buckets, hot_at), PACKED)
-    found = found.groupBy("key").applyInArrow(_candidates(shards, hot_at), PACKED).union(copied)
+    found = cut(found.groupBy("key").applyInArrow(_candidates(shards, hot_at), PACKED)).union(copied)
+    release(docs.sparkSession)  # the packed anchors are not needed any more
     said = texts.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_contexts(length, buckets), PACKED)
     gone = said.groupBy("key").applyInArrow(_repeats(length), PACKED).union(copied)
     return texts.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
