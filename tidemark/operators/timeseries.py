@@ -213,7 +213,7 @@ def repetition(segments: DataFrame, by: list[str]) -> DataFrame:
 def label_sections(segments: DataFrame, by: list[str], duration: str = "duration") -> DataFrame:
     """Add label to segments (by, start, end, cluster, energy, duration): intro, outro, chorus, verse, breakdown, solo or bridge."""
     whole, cluster = Window.partitionBy(*by), Window.partitionBy(*by, "cluster")
-    w = ordered(by, "start")
+    w = ordered(by, "start", "end", "cluster", "energy")
     s = segments.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(whole)).withColumn("_count", F.count("*").over(cluster))
     low, high = F.min("energy").over(whole), F.max("energy").over(whole)
     s = s.withColumn("_e", (F.col("energy") - low) / (high - low + 1e-12)).withColumn("_ce", F.avg("_e").over(cluster))

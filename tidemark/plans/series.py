@@ -153,7 +153,7 @@ def section_repetition(spark, sf):
     return T.repetition(segments(spark, sf), ["k"])
 
 
-@query(_SEG + """, a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY start) AS i, count(*) OVER (PARTITION BY k) AS n, count(*) OVER (PARTITION BY k, cluster) AS c,
+@query(_SEG + """, a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY start, "end", cluster, energy) AS i, count(*) OVER (PARTITION BY k) AS n, count(*) OVER (PARTITION BY k, cluster) AS c,
     (energy - min(energy) OVER (PARTITION BY k)) / (max(energy) OVER (PARTITION BY k) - min(energy) OVER (PARTITION BY k) + 1e-12) AS e FROM s),
     b AS (SELECT *, avg(e) OVER (PARTITION BY k, cluster) AS ce FROM a), r AS (SELECT *, dense_rank() OVER (PARTITION BY k ORDER BY c DESC, round(ce, 9) DESC, cluster) AS place FROM b)
     SELECT k, start, CASE WHEN i = 1 AND "end" < 16 THEN 'intro' WHEN i = n AND start > 60 THEN 'outro' WHEN place = 1 AND c >= 2 THEN 'chorus' WHEN place = 2 AND c >= 2 THEN 'verse'
