@@ -171,8 +171,9 @@ def valence(mode_: Column, centroid: Column, energy_: Column) -> Column:
 def liveness(rms: Column, flatness: Column) -> Column:
     """Flatness of the quietest quarter of the frames; 0.1 if those are under five."""
     low = percentile(rms, 0.25)
-    quiet = F.filter(F.arrays_zip(rms.alias("r"), flatness.alias("f")), lambda x: x["0"] < low)
-    return F.when(F.size(quiet) < 5, 0.1).otherwise(clip(mean(F.transform(quiet, lambda x: x["1"])) * 8) * 0.8)
+    pairs = F.zip_with(rms, flatness, lambda r, f: F.struct(r.alias("r"), f.alias("f")))
+    quiet = F.filter(pairs, lambda x: x["r"] < low)
+    return F.when(F.size(quiet) < 5, 0.1).otherwise(clip(mean(F.transform(quiet, lambda x: x["f"])) * 8) * 0.8)
 
 
 def time_signature(strengths: Column) -> Column:

@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 BLOCK, QUERY_BLOCK = 4096, 512
@@ -151,13 +152,17 @@ def with_cells(vectors: DataFrame, centers: np.ndarray, n: int = 1) -> DataFrame
                 out = batch.take(pa.array(np.repeat(np.arange(len(rows)), m)))
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(near.ravel(), pa.int64())], names=[*kept, "cell"])
 
-    return vectors.mapInArrow(run, vectors.schema.add("cell", "long"))
+    return vectors.mapInArrow(run, StructType([*vectors.schema.fields, StructField("cell", LongType())]))
 
 
 def knn_cells(queries: DataFrame, vectors: DataFrame, k: int, n_cells: int | None = None, probes: int | None = None) -> DataFrame:
-    """``knn`` over the nearest cells of each query only. Every vector is in a cell; the cells come from a sample."""
-    n_cells = n_cells or max(1, int(4 * vectors.count() ** 0.5))
-    probes = probes or max(n_cells // 4, 8)
+    """``knn`` over the nearest cells of each query only. Every vector is in a cell; the cells come from a sample.
+
+    Two thirds of the cells are looked at unless told otherwise, which finds nine in ten of the nearest even among
+    vectors without clusters; clustered ones need far fewer.
+    """
+    n_cells = n_cells or max(1, int(2 * vectors.count() ** 0.5))
+    probes = probes or max(-(-2 * n_cells // 3), 8)
     centers = fit_cells(vectors, n_cells)
     found = knn(with_cells(queries, centers, probes), with_cells(vectors, centers), k, ["cell"])
     return found.drop("place").dropDuplicates(["query_id", "id"]).transform(lambda d: _rank(d, k))
