@@ -13,6 +13,11 @@ MINOR = (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
 PITCHES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
@@ -57,9 +62,13 @@ def diff(v: Column) -> Column:
 
 
 def pearson(a: Column, b: Column) -> Column:
-    ma, mb = mean(a), mean(b)
-    cov = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    return cov / F.sqrt(total(F.transform(a, lambda x: (x - ma) * (x - ma))) * total(F.transform(b, lambda y: (y - mb) * (y - mb))))
+    def of(m: Column) -> Column:
+        pairs = F.zip_with(a, b, lambda x, y: F.struct((x - m["a"]).alias("x"), (y - m["b"]).alias("y")))
+        start = F.struct(*[F.lit(0.0).alias(c) for c in ("xy", "xx", "yy")])
+        step = lambda s, p: F.struct((s["xy"] + p["x"] * p["y"]).alias("xy"), (s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy"))
+        return F.aggregate(pairs, start, step, lambda s: s["xy"] / F.sqrt(s["xx"] * s["yy"]))
+
+    return let(F.struct(mean(a).alias("a"), mean(b).alias("b")), of)
 
 
 def lagged(v: Column, lag: int) -> Column:
@@ -81,9 +90,12 @@ def key_scores(chroma: Column) -> Column:
 
 def key_of(chroma: Column) -> Column:
     """Struct of key, mode and two confidences: of the margin to the second best, and relative to the best."""
-    s = key_scores(chroma)
-    best, second = s[0]["r"], s[1]["r"]
-    return F.struct(s[0]["key"].alias("key"), s[0]["mode"].alias("mode"), best.alias("r"), clip((best - second) * 5 + 0.3).alias("confidence"), clip((best - second) / (F.abs(best) + 1e-12) + best).alias("relative_confidence"))
+
+    def of(s: Column) -> Column:
+        best, second = s[0]["r"], s[1]["r"]
+        return F.struct(s[0]["key"].alias("key"), s[0]["mode"].alias("mode"), best.alias("r"), clip((best - second) * 5 + 0.3).alias("confidence"), clip((best - second) / (F.abs(best) + 1e-12) + best).alias("relative_confidence"))
+
+    return let(key_scores(chroma), of)
 
 
 def chord_templates() -> list[tuple[str, list[float]]]:
@@ -100,15 +112,18 @@ def chord_templates() -> list[tuple[str, list[float]]]:
 
 def chord_of(chroma: Column) -> Column:
     """Struct of chord and confidence: the template with the greatest product with the scaled chroma, the first of equals."""
-    n = F.sqrt(F.aggregate(chroma, F.lit(0.0), lambda a, x: a + x * x)) + 1e-12
-    scores = []
-    for k, (_, t) in enumerate(chord_templates()):
-        on = [i for i, x in enumerate(t) if x]
-        s = sum((F.get(chroma, F.lit(i)) for i in on[1:]), F.get(chroma, F.lit(on[0]))) / math.sqrt(3) / n
-        scores.append(F.struct(s.alias("s"), F.lit(-k).alias("k")))
-    best = F.array_max(F.array(*scores))
     names = F.array(*[F.lit(name) for name, _ in chord_templates()])
-    return F.struct(F.get(names, -best["k"]).alias("chord"), best["s"].alias("confidence"))
+
+    def scores(c: Column) -> Column:
+        out = []
+        for k, (_, t) in enumerate(chord_templates()):
+            on = [i for i, x in enumerate(t) if x]
+            s = sum((F.get(c, F.lit(i)) for i in on[1:]), F.get(c, F.lit(on[0]))) / math.sqrt(3)
+            out.append(F.struct(s.alias("s"), F.lit(-k).alias("k")))
+        return F.array_max(F.array(*out))
+
+    norm = F.sqrt(F.aggregate(chroma, F.lit(0.0), lambda a, x: a + x * x)) + 1e-12
+    return let(let(chroma, scores), lambda best: F.struct(F.get(names, -best["k"]).alias("chord"), (best["s"] / norm).alias("confidence")))
 
 
 # ---- feature formulas

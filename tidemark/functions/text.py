@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemark.functions.stats import let
+
 # Variant markers in the order in which they are tried, a deluxe album's, and marks of guests and tails.
 VARIANTS = (
     ("remaster", r"\b(?:\d{4}\s*)?remaster(?:ed)?(?:\s*\d{4})?\b|\banniversary\b"),
@@ -76,16 +78,23 @@ def parse_title(title: Column, album: Column) -> Column:
     """
     tail = F.regexp_extract(title, DASH_TAIL, 1)
     chunks = F.concat(F.regexp_extract_all(title, F.lit(CHUNK), F.lit(1)), F.when(tail != "", F.array(tail)).otherwise(F.array().cast("array<string>")))
-    marked = F.filter(chunks, lambda c: F.size(tags_of(c)) > 0)
-    found = F.flatten(F.transform(marked, lambda c: tags_of(c)))
-    found = F.when(F.size(found) > 0, found).otherwise(tags_of(title, BARE))
-    found = F.when(F.coalesce(album.rlike(f"(?i){ALBUM_DELUXE}"), F.lit(False)), F.array_append(found, "deluxe")).otherwise(found)
-    cut = F.aggregate(marked, title, lambda acc, c: F.replace(F.replace(acc, F.concat(F.lit("("), c, F.lit(")")), F.lit(" ")), F.concat(F.lit("["), c, F.lit("]")), F.lit(" ")))
-    cut = F.when(F.array_contains(marked, tail), F.regexp_replace(cut, DASH_TAIL, " ")).otherwise(cut)
-    base = F.btrim(F.regexp_replace(cut, f"(?i){GUESTS}", ""), F.lit(" -–—"))
-    primary = F.get(F.filter(found, lambda t: ~t.isin("version", "deluxe")), F.lit(0))
-    kind = F.coalesce(primary, F.when(F.array_contains(found, "deluxe"), F.lit("deluxe")), F.lit("original"))
-    return F.struct(F.when(base != "", base).otherwise(title).alias("base_title"), kind.alias("variant_type"), F.array_sort(F.array_distinct(found)).alias("variant_tags"))
+    tagged = F.filter(F.transform(chunks, lambda c: F.struct(c.alias("chunk"), tags_of(c).alias("tags"))), lambda x: F.size(x["tags"]) > 0)
+
+    def of_marked(marked: Column) -> Column:
+        found = F.when(F.size(marked) > 0, F.flatten(F.transform(marked, lambda x: x["tags"]))).otherwise(tags_of(title, BARE))
+        deluxe = F.coalesce(album.rlike(f"(?i){ALBUM_DELUXE}"), F.lit(False))
+        found = F.concat(found, F.when(deluxe, F.array(F.lit("deluxe"))).otherwise(F.array().cast("array<string>")))
+        cut = F.aggregate(marked, title, lambda acc, x: F.replace(F.replace(acc, F.concat(F.lit("("), x["chunk"], F.lit(")")), F.lit(" ")), F.concat(F.lit("["), x["chunk"], F.lit("]")), F.lit(" ")))
+        cut = F.when(F.exists(marked, lambda x: x["chunk"] == tail), F.regexp_replace(cut, DASH_TAIL, " ")).otherwise(cut)
+        base = F.btrim(F.regexp_replace(cut, f"(?i){GUESTS}", ""), F.lit(" -–—"))
+        return let(F.struct(found.alias("found"), base.alias("base")), named)
+
+    def named(x: Column) -> Column:
+        primary = F.get(F.filter(x["found"], lambda t: ~t.isin("version", "deluxe")), F.lit(0))
+        kind = F.coalesce(primary, F.when(F.array_contains(x["found"], "deluxe"), F.lit("deluxe")), F.lit("original"))
+        return F.struct(F.when(x["base"] != "", x["base"]).otherwise(title).alias("base_title"), kind.alias("variant_type"), F.array_sort(F.array_distinct(x["found"])).alias("variant_tags"))
+
+    return let(tagged, of_marked)
 
 
 def primary_artist(artist: Column) -> Column:

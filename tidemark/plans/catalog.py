@@ -84,7 +84,7 @@ def catalog_entries(spark, sf):
 
 
 _REL = "CASE list_extract(list_filter(variant_tags, lambda t: t NOT IN ('version', 'deluxe')), 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.RELATIONS.items()) + " ELSE 'duplicate' END"
-_LINKS = f"""SELECT entry_id AS track_a, canonical AS track_b, 'name' AS method, {_REL} AS relation, 0.9 AS score FROM (
+_LINKS = f"""SELECT entry_id AS track_a, canonical AS track_b, 'name' AS method, {_REL} AS relation, 0.9::DOUBLE AS score FROM (
     SELECT *, row_number() OVER w AS place, first_value(entry_id) OVER w AS canonical FROM entries
     WINDOW w AS (PARTITION BY norm_key ORDER BY variant_type = 'original' DESC, play_count DESC, first_seq)) WHERE place > 1"""
 
@@ -110,7 +110,7 @@ def _tracks(spark, sf):
 
 
 @query(f"""WITH c AS ({_CUST}), r AS (SELECT *, first_value(id) OVER w AS best, count(*) OVER (PARTITION BY isrc) AS n FROM c WHERE isrc IS NOT NULL
-    WINDOW w AS (PARTITION BY isrc ORDER BY play_count DESC, id)) SELECT id AS track_a, best AS track_b, 'isrc' AS method, 'duplicate' AS relation, 1.0 AS score FROM r WHERE n >= 2 AND id <> best""")
+    WINDOW w AS (PARTITION BY isrc ORDER BY play_count DESC, id)) SELECT id AS track_a, best AS track_b, 'isrc' AS method, 'duplicate' AS relation, 1.0::DOUBLE AS score FROM r WHERE n >= 2 AND id <> best""")
 def isrc_groups(spark, sf):
     return C.isrc_groups(_tracks(spark, sf))
 

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a function (spark, sf_dir) -> DataFrame by its name, with SQL that DuckDB runs on the same tables."""
+def query(sql: str | None = None, rounded: str = "") -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame by its name, with SQL that DuckDB runs on the same tables.
+
+    ``rounded`` names columns that both sides round to 8 digits, where sums of floats depend on their order.
+    """
 
     def add(fn: Callable) -> Callable:
-        QUERIES[fn.__name__] = fn
+        def run(spark, sf):
+            return fn(spark, sf).withColumns({c: F.round(c, 8) + 0.0 for c in rounded.split()})
+
+        QUERIES[fn.__name__] = wraps(fn)(run) if rounded else fn
         if sql:
-            ORACLES[fn.__name__] = sql
+            ORACLES[fn.__name__] = f"SELECT * REPLACE ({', '.join(f'round({c}, 8) + 0.0 AS {c}' for c in rounded.split())}) FROM ({sql})" if rounded else sql
         return fn
 
     return add

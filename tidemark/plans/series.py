@@ -37,7 +37,7 @@ def tatums(spark, sf):
 
 @query(_P + """, g AS (SELECT k, t - lag(t) OVER (PARTITION BY k ORDER BY t, seq) AS gap FROM p)
     SELECT k, count(*) AS beats, avg(gap) AS ibi_mean, stddev_pop(gap) AS ibi_std,
-    CASE WHEN count(gap) > 1 AND avg(gap) > 0 THEN 1 - least(greatest(stddev_pop(gap) / avg(gap), 0), 1) END AS regularity FROM g GROUP BY k""")
+    CASE WHEN count(gap) > 1 AND avg(gap) > 0 THEN 1 - least(greatest(stddev_pop(gap) / avg(gap), 0), 1) END AS regularity FROM g GROUP BY k""", rounded="ibi_mean ibi_std regularity")
 def beat_stats(spark, sf):
     return T.beat_stats(points(spark, sf), ["k"])
 
@@ -77,7 +77,7 @@ def pitch_histogram(spark, sf):
 
 
 @query(_P + """, g AS (SELECT k, value AS v, min(value) OVER (PARTITION BY k) AS l, max(value) OVER (PARTITION BY k) AS h FROM p), c AS (SELECT k, CAST(CASE WHEN h = l THEN 10 WHEN v = h THEN 19 ELSE floor((v - l) / ((h - l) / 20)) END AS BIGINT) AS bin, count(*) AS n FROM g GROUP BY 1, 2)
-    SELECT k, -sum(n / s * log2(n / s)) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY k) AS s FROM c) GROUP BY k""")
+    SELECT k, -sum(n / s * log2(n / s)) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY k) AS s FROM c) GROUP BY k""", rounded="entropy")
 def rhythmic_entropy(spark, sf):
     return T.rhythmic_entropy(T.spread_histogram(points(spark, sf), ["k"], "value"), ["k"])
 
@@ -120,7 +120,7 @@ def interpolate(spark, sf):
 
 
 @query(_P + """, h AS (SELECT k, CAST(floor(t / 3600) AS BIGINT) AS h, value FROM p) SELECT k, w * 24 AS start, avg(value) AS mean, count(*) AS n
-    FROM h, range(0, 100) r(w) WHERE w * 24 <= h AND h < w * 24 + 48 GROUP BY k, w""")
+    FROM h, range(0, 100) r(w) WHERE w * 24 <= h AND h < w * 24 + 48 GROUP BY k, w""", rounded="mean")
 def sliding_means(spark, sf):
     rows = points(spark, sf).withColumn("h", F.floor(F.col("t") / 3600))
     return T.sliding_means(rows, ["k"], "h", "value", 48, 24)
@@ -129,7 +129,7 @@ def sliding_means(spark, sf):
 _LAGS = ", v AS (SELECT k, value, lead(value, 3) OVER w AS l3, lead(value, 4) OVER w AS l4 FROM p WINDOW w AS (PARTITION BY k ORDER BY t, seq))"
 
 
-@query(_P + _LAGS + " SELECT k, corr(value, l3) AS lag3, corr(value, l4) AS lag4 FROM v GROUP BY k HAVING count(*) >= 10")
+@query(_P + _LAGS + " SELECT k, corr(value, l3) AS lag3, corr(value, l4) AS lag4 FROM v GROUP BY k HAVING count(*) >= 10", rounded="lag3 lag4")
 def lagged_correlation(spark, sf):
     from pyspark.sql.window import Window
 
@@ -138,7 +138,7 @@ def lagged_correlation(spark, sf):
     return rows.groupBy("k").agg(F.corr("value", "l3").alias("lag3"), F.corr("value", "l4").alias("lag4"), F.count("*").alias("n")).filter("n >= 10").drop("n")
 
 
-_SEG = """WITH s AS (SELECT l_orderkey AS k, l_linenumber * 10.0 AS start, l_linenumber * 10.0 + 5 + l_quantity % 5 AS "end", CAST(l_quantity % 3 AS INTEGER) AS cluster, l_extendedprice AS energy, 80.0 AS duration FROM lineitem)
+_SEG = """WITH s AS (SELECT l_orderkey AS k, (l_linenumber * 10.0)::DOUBLE AS start, l_linenumber * 10.0 + 5 + l_quantity % 5 AS "end", CAST(l_quantity % 3 AS INTEGER) AS cluster, l_extendedprice AS energy, 80.0 AS duration FROM lineitem)
 """
 
 
@@ -177,7 +177,7 @@ _V = _C("0.45 + 0.3 * (least(centroid / 4500, 1.0) - 0.5) + CASE WHEN mode = 1 T
 
 
 @query(f"""SELECT id, 0.5 * tanh(rms * 8) + 0.3 * tanh(flux * 2) + 0.2 * tanh(onsets / 4) AS energy, 0.4 * (1 - {_C('centroid * 1.5 / 11025')}) + 0.4 * (1 - {_C('centroid / 4000')}) + 0.2 * (1 - {_C('flux * 10')}) AS acousticness,
-    {_C('1.6 - flux')} AS instrumentalness, {_C(f'0.4 * {_C("flux * 20")} + 0.4 * rms + 0.2 * flux * 5')} * 0.66 AS speechiness, 20 * log10(rms + 1e-12) AS db FROM ({_F})""")
+    {_C('1.6 - flux')} AS instrumentalness, {_C(f'0.4 * {_C("flux * 20")} + 0.4 * rms + 0.2 * flux * 5')} * 0.66 AS speechiness, 20 * log10(rms + 1e-12) AS db FROM ({_F})""", rounded="energy acousticness instrumentalness speechiness db")
 def feature_formulas(spark, sf):
     f = feature_rows(spark, sf)
     c = F.col
@@ -192,7 +192,7 @@ def feature_rows(spark, sf):
 
 @query(f"""WITH f AS ({_F}), m AS (SELECT id, {_E} AS energy, {_AR} AS arousal, {_V} AS valence, tempo FROM f) SELECT id, energy, arousal, valence, valence AS positivity, {_C('0.5 * arousal + 0.5 * energy')} AS dominance,
     {_C('0.4 * 0.5 + 0.3 * energy + 0.3 * exp(-(tempo - 120) * (tempo - 120) / 2400)')} AS danceability, {_C('energy * (1 - valence) * 1.5')} AS aggression, {_C('(1 - valence) * (1 - arousal) * 1.8')} AS melancholy,
-    {_C('arousal * (1 - valence) * 1.6')} AS tension, {_C('(1 - arousal) * valence * 1.8')} AS relaxation FROM m""")
+    {_C('arousal * (1 - valence) * 1.6')} AS tension, {_C('(1 - arousal) * valence * 1.8')} AS relaxation FROM m""", rounded="energy arousal valence positivity dominance danceability aggression melancholy tension relaxation")
 def mood_scores(spark, sf):
     c = F.col
     return feature_rows(spark, sf).select("id", S.mood(c("rms"), c("tempo"), c("centroid"), c("mode"), F.lit(0.5)).alias("m")).select("id", "m.*")

@@ -128,7 +128,7 @@ _CTX = EV + """, g AS (SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER
 
 @query(_CTX + """SELECT seq, session, sin(hour * 2 * pi() / 24) AS hour_sin, row_number() OVER i AS session_position, coalesce(sum(ms) OVER (i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS session_ms_so_far,
     coalesce(sum(k) OVER (i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS skips_this_session, coalesce(lag(k) OVER w, 0) AS prev_skipped, avg(1.0 - k) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS completion_last_5
-    FROM s WINDOW i AS (PARTITION BY artist, session ORDER BY ts, seq), w AS (PARTITION BY artist ORDER BY ts, seq)""")
+    FROM s WINDOW i AS (PARTITION BY artist, session ORDER BY ts, seq), w AS (PARTITION BY artist ORDER BY ts, seq)""", rounded="hour_sin completion_last_5")
 def context_features(spark, sf):
     found = M.context_features(plays_from_events(spark, sf), ["artist"])
     return found.select("seq", "session", "hour_sin", "session_position", "session_ms_so_far", "skips_this_session", "prev_skipped", "completion_last_5")

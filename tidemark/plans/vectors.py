@@ -18,14 +18,14 @@ _D = "CAST(embedding AS DOUBLE[])"
 
 
 @query(f"""WITH v AS (SELECT vec_id AS id, {_D} AS x FROM embeddings), p AS (SELECT q.id AS query_id, v.id, 1 - list_cosine_similarity(q.x, v.x) AS distance
-    FROM v q, v WHERE q.id % 100 = 0 AND q.id <> v.id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM p) WHERE place <= 10""")
+    FROM v q, v WHERE q.id % 100 = 0 AND q.id <> v.id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM p) WHERE place <= 10""", rounded="distance")
 def knn(spark, sf):
     rows = vectors(spark, sf)
     return V.knn(rows.filter("id % 100 = 0"), rows, 10)
 
 
 @query(f"""WITH v AS (SELECT vec_id AS id, {_D} AS x, label FROM embeddings), p AS (SELECT q.id AS query_id, v.id, 1 - list_cosine_similarity(q.x, v.x) AS distance
-    FROM v q JOIN v ON q.label = v.label WHERE q.id % 100 = 0 AND q.id <> v.id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM p) WHERE place <= 5""")
+    FROM v q JOIN v ON q.label = v.label WHERE q.id % 100 = 0 AND q.id <> v.id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM p) WHERE place <= 5""", rounded="distance")
 def knn_same_label(spark, sf):
     rows = vectors(spark, sf)
     return V.knn(rows.filter("id % 100 = 0"), rows, 5, ["label"])
@@ -51,7 +51,7 @@ def label_centroids(spark, sf):
 
 
 @query(f"""SELECT vec_id AS id, list_avg({_D}) AS mean, list_stddev_pop({_D}) AS std, list_min({_D}) AS least, list_max({_D}) AS greatest,
-    quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.99) AS p99 FROM (SELECT vec_id, embedding, unnest({_D}) AS x FROM embeddings) GROUP BY vec_id, embedding""")
+    quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.99) AS p99 FROM (SELECT vec_id, embedding, unnest({_D}) AS x FROM embeddings) GROUP BY vec_id, embedding""", rounded="mean std least greatest median p99")
 def row_stats(spark, sf):
     v = F.transform("vector", lambda x: x.cast("double"))
     return vectors(spark, sf).select("id", S.mean(v).alias("mean"), S.std(v).alias("std"), F.array_min(v).alias("least"), F.array_max(v).alias("greatest"), S.percentile(v, 0.5).alias("median"), S.percentile(v, 0.99).alias("p99"))
@@ -63,7 +63,7 @@ _PROF = "UNION ALL ".join(f"SELECT {s} AS key, {m} AS mode, {list(p)}::DOUBLE[]
 
 @query(f"""WITH c AS (SELECT vec_id AS id, {_CH} AS ch FROM embeddings), prof AS ({_PROF}), r AS (SELECT id, key, mode, corr(list_extract(ch, CAST((k + key) % 12 + 1 AS INTEGER)), list_extract(prof, CAST(k + 1 AS INTEGER))) AS r
     FROM c, prof, range(12) t(k) GROUP BY id, key, mode), o AS (SELECT *, row_number() OVER w AS place, lead(r) OVER w AS second FROM r WINDOW w AS (PARTITION BY id ORDER BY r DESC))
-    SELECT id, key, mode, r, least(greatest((r - second) * 5 + 0.3, 0), 1) AS confidence, least(greatest((r - second) / (abs(r) + 1e-12) + r, 0), 1) AS relative_confidence FROM o WHERE place = 1""")
+    SELECT id, key, mode, r, least(greatest((r - second) * 5 + 0.3, 0), 1) AS confidence, least(greatest((r - second) / (abs(r) + 1e-12) + r, 0), 1) AS relative_confidence FROM o WHERE place = 1""", rounded="r confidence relative_confidence")
 def key_detection(spark, sf):
     """The first twelve parts of each vector stand in for a chroma."""
     chroma = F.transform(F.slice("vector", 1, 12), lambda x: F.abs(x.cast("double")))
@@ -72,7 +72,7 @@ def key_detection(spark, sf):
 
 @query(f"""WITH c AS (SELECT vec_id AS id, {_CH} AS ch FROM embeddings), t AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{n}', {[round(x, 17) for x in v]}::DOUBLE[])" for k, (n, v) in enumerate(S.chord_templates()))}) x(k, chord, tv)),
     s AS (SELECT id, k, chord, list_inner_product(ch, tv) / (sqrt(list_inner_product(ch, ch)) + 1e-12) AS s FROM c, t)
-    SELECT id, chord, s AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, k) AS place FROM s) WHERE place = 1""")
+    SELECT id, chord, s AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, k) AS place FROM s) WHERE place = 1""", rounded="confidence")
 def chord_detection(spark, sf):
     chroma = F.transform(F.slice("vector", 1, 12), lambda x: F.abs(x.cast("double")))
     return vectors(spark, sf).select("id", S.chord_of(chroma).alias("c")).select("id", "c.chord", "c.confidence")
@@ -82,7 +82,7 @@ _W = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))"
 
 
 @query(f"""SELECT vec_id AS id, list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN -x * log2(x) ELSE 0 END)) AS entropy
-    FROM (SELECT vec_id, list_transform({_W}, lambda y: y / list_sum({_W})) AS p FROM embeddings)""")
+    FROM (SELECT vec_id, list_transform({_W}, lambda y: y / list_sum({_W})) AS p FROM embeddings)""", rounded="entropy")
 def spectral_entropy(spark, sf):
     return vectors(spark, sf).select("id", S.entropy(F.transform("vector", lambda x: F.abs(x.cast("double")))).alias("entropy"))
 
