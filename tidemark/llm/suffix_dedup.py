@@ -36,7 +36,7 @@ from tidemark.llm.common import cut, release
 LENGTH, GRAM, SHALLOW = 50, 20, 16
 #: Bytes of text hashed at once, anchors packed at once, and records of an anchor, of those packed at once or four
 #: times as many of a bucket, that make it hot: a small part of what a bucket holds anyway.
-CHUNK, FLUSH, HOT = 1 << 20, 1 << 21, 4096
+CHUNK, FLUSH, HOT = 1 << 17, 1 << 21, 4096
 #: Bytes of text for each bucket and shard.
 UNIT_BYTES = 4 << 20
 NO_ID = (1 << 63) - 1
@@ -121,15 +121,14 @@ def runs(doc: np.ndarray, place: np.ndarray, h: np.ndarray, sizes: np.ndarray, l
     """First and last start of the windows of which each anchor is the anchor (last < first: none)."""
     width = length - GRAM + 1
     first, last = np.maximum(0, place - width + 1), np.minimum(place, sizes[doc] - length)
-    k = 1
-    while k < len(doc):
-        near = (doc[k:] == doc[:-k]) & (place[k:] - place[:-k] < width)
-        if not near.any():
-            break
-        left_wins = near & (h[:-k] <= h[k:])
-        right_wins = near & (h[k:] < h[:-k])
-        first[k:] = np.where(left_wins, np.maximum(first[k:], place[:-k] + 1), first[k:])
-        last[:-k] = np.where(right_wins, np.minimum(last[:-k], place[k:] - width), last[:-k])
+    # Anchors k apart are only near if those k - 1 apart are, so few are left after the first look.
+    at, k = np.arange(len(doc)), 1
+    while len(at := at[at + k < len(doc)]):
+        at = at[(doc[at + k] == doc[at]) & (place[at + k] - place[at] < width)]
+        left_wins = h[at] <= h[at + k]
+        i, j = at[left_wins] + k, at[~left_wins]
+        first[i] = np.maximum(first[i], place[i - k] + 1)
+        last[j] = np.minimum(last[j], place[j + k] - width)
         k += 1
     return first, last
 
@@ -176,6 +175,43 @@ class BlindTrie:
         return out
 
 
+def sort_packed(*parts: np.ndarray) -> np.ndarray:
+    """Order of rows by several columns of whole numbers from 0: one sort of packed numbers if they fit in 64 bits."""
+    n = len(parts[0])
+    bits = [int(x.max(initial=0)).bit_length() for x in parts]
+    width = max(1, n - 1).bit_length()
+    if sum(bits) + width > 64:
+        return np.lexsort(parts[::-1])
+    key = np.zeros(n, _U)
+    for x, k in zip(parts, bits, strict=True):
+        key = key << _U(k) | x.astype(_U)
+    return (np.sort(key << _U(width) | np.arange(n, dtype=_U)) & _U((1 << width) - 1)).astype(np.int64)
+
+
+def shallow_sort(eight: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by their first ``SHALLOW`` bytes, and where a place differs from the one before.
+
+    A multikey sort: each level takes as many bytes more as can be packed with the group and the place in 64 bits,
+    and goes on with the groups of several suffixes only.
+    """
+    order, new = np.arange(len(starts)), np.zeros(len(starts), bool)
+    new[0] = True
+    open_, depth = order.copy(), 0
+    while depth < SHALLOW and len(open_):
+        group = np.cumsum(new[open_] | np.concatenate([[True], open_[1:] != open_[:-1] + 1])) - 1
+        taken = min(SHALLOW - depth, max(1, (63 - int(group[-1]).bit_length() - len(open_).bit_length()) // 8))
+        chars = eight[starts[order[open_]] + depth] >> _U(8 * (8 - taken)) if taken < 8 else eight[starts[order[open_]] + depth]
+        by = sort_packed(group, chars)
+        order[open_] = order[open_][by]
+        chars = chars[by]
+        differs = np.concatenate([[False], (chars[1:] != chars[:-1]) | (group[1:] != group[:-1])])
+        new[open_] |= differs
+        depth += taken
+        alone = new & np.concatenate([new[1:], [True]])
+        open_ = open_[~alone[open_]]
+    return order, new
+
+
 def deep_shallow_sort(buffer: bytes, starts: np.ndarray, length: int = LENGTH, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank): windows of ``length`` bytes in order, and the rank that equal ones share.
 
@@ -188,12 +224,8 @@ def deep_shallow_sort(buffer: bytes, starts: np.ndarray, length: int = LENGTH, r
     two = b[:-1].astype(np.uint16) << 8 | b[1:]
     four = two[:-2].astype(np.uint32) << 16 | two[2:]
     eight = four[:-4].astype(_U) << _U(32) | four[4:]
-    offsets = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
-    a, c = eight[starts], eight[starts + 8]
-    order = np.lexsort((c, a))
-    a, c = a[order], c[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
-    del a, c
+    offsets = [*range(SHALLOW, length - 7, 8), *([length - 8] if length % 8 else [])]
+    order, new = shallow_sort(eight, starts)
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     sizes = np.diff(np.append(first, len(order)))
@@ -211,8 +243,7 @@ def deep_shallow_sort(buffer: bytes, starts: np.ndarray, length: int = LENGTH, r
         mine = head[group[open_]]
         same = np.ones(len(open_), bool)
         for o in offsets:
-            if o >= SHALLOW or o + 8 > SHALLOW:
-                same &= eight[at[open_] + o] == eight[at[mine] + o]
+            same &= eight[at[open_] + o] == eight[at[mine] + o]
         cls[open_[same]] = member[mine[same]]
     for g in np.unique(group[cls < 0]):
         low, high = first[g], first[g] + sizes[g]
@@ -222,22 +253,18 @@ def deep_shallow_sort(buffer: bytes, starts: np.ndarray, length: int = LENGTH, r
         leaf = np.array([trie.insert(s) for s in cut_])
         firsts = {int(x): int(member[rest[k]]) for k, x in reversed(list(enumerate(leaf.tolist())))}
         cls[rest] = [firsts[x] for x in leaf.tolist()]
-    # Order within a group: classes by their strings.
-    mixed = np.flatnonzero(np.bincount(group, weights=cls > 0) > 0) if len(group) else []
-    place = cls.copy()
-    for g in mixed:
-        low, high = first[g], first[g] + sizes[g]
-        kinds = np.unique(cls[low:high]).tolist()
-        trie = BlindTrie(buffer[at[low + kinds[0]] + SHALLOW : at[low + kinds[0]] + length])
-        for k in kinds[1:]:
-            trie.insert(buffer[at[low + k] + SHALLOW : at[low + k] + length])
-        ranks = np.empty(len(kinds), np.int64)
-        ranks[trie.ordered()] = np.arange(len(kinds))
-        place[low:high] = ranks[np.searchsorted(kinds, cls[low:high])]
-    final = np.lexsort((place, group))
-    order, group, place = order[final], group[final], place[final]
-    new = np.concatenate([[True], (group[1:] != group[:-1]) | (place[1:] != place[:-1])])
-    return order, np.cumsum(new) - 1
+    # Order within a group: the first members of its classes by the rest of their strings, all groups at once.
+    heads = np.flatnonzero(member == cls)
+    by = np.arange(len(heads))
+    if len(heads) > len(first):
+        by = np.lexsort((*(eight[at[heads] + o] for o in reversed(offsets)), group[heads]))
+    rank_of = np.empty(len(order), np.int64)
+    rank_of[heads[by]] = np.arange(len(heads))
+    place = rank_of[first[group] + cls]
+    if len(heads) > len(first):
+        final = np.argsort(place, kind="stable")
+        order, place = order[final], place[final]
+    return order, np.cumsum(np.concatenate([[True], place[1:] != place[:-1]])) - 1
 
 
 PACKED = "key long, kind int, shard long, a binary, b binary, c binary, d binary"
@@ -251,7 +278,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _split(key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
     """(key, arrays) for each key."""
-    order = np.argsort(key, kind="stable")
+    order = sort_packed(key)
     ordered = key[order]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1, [len(ordered)]])
     for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -263,7 +290,7 @@ def _anchors(length: int, buckets: int, hot_at: int):
     """Step 1: kind 0 has hashes, doc_ids and places (-1: a witness of a hot anchor); kind 1 has hot candidates."""
 
     def send(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((doc, h))
+        order = np.argsort(h)
         h, doc, place = h[order], doc[order], place[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.append(first, len(h)))
@@ -272,11 +299,10 @@ def _anchors(length: int, buckets: int, hot_at: int):
         if hot.any():
             for key, d, p in _split(doc[hot] % buckets, doc[hot], place[hot]):
                 rows.append((key, 1, None, pack(d), pack((-1 - p).astype(np.int32)), None, None))
-            low = first[sizes > hot_at]
-            high = low + sizes[sizes > hot_at] - 1
-            witness = np.concatenate([low, high])
-            h, doc, place = (np.concatenate([x[~hot], x[witness]]) for x in (h, doc, place))
-            place[len(place) - len(witness) :] = -1
+            of_hot = np.flatnonzero(sizes > hot_at)
+            ends = [pick.reduceat(doc, first)[of_hot] for pick in (np.minimum, np.maximum)]
+            h = np.concatenate([h[~hot], h[first[of_hot]], h[first[of_hot]]])
+            doc, place = np.concatenate([doc[~hot], *ends]), np.concatenate([place[~hot], np.full(2 * len(of_hot), -1)])
         for key, x, d, p in _split((h % _U(buckets)).astype(np.int64), h, doc, place):
             marks = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, 2:]
             rows.append((key, 0, None, marks.T.tobytes(), pack(d), pack(p.astype(np.int32)), None))
@@ -315,12 +341,12 @@ def _candidates(shards: int, hot_at: int):
             h = h.view(_U).ravel()
             d = np.concatenate([unpack(b[i], np.int64) for i in own])
             p = np.concatenate([unpack(c[i], np.int32) for i in own])
-            order = np.lexsort((d, h))
+            order = np.argsort(h)
             h, d, p = h[order], d[order], p[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             sizes = np.diff(np.append(first, len(h)))
             hot = np.logical_or.reduceat(p < 0, first) | (sizes > 4 * hot_at)
-            several = d[first] != d[first + sizes - 1]
+            several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
             keep = np.repeat(several, sizes) & (p >= 0)
             doc.append(d[keep])
             place.append(np.where(np.repeat(hot, sizes)[keep], -1 - p[keep], p[keep]))
@@ -354,9 +380,6 @@ def _contexts(length: int, buckets: int):
             ids, texts = _texts(left)
             doc = np.concatenate([unpack(a[i], np.int64) for i in own])
             place = np.concatenate([unpack(b[i], np.int32) for i in own]).astype(np.int64)
-            order = np.lexsort((np.where(place < 0, -1 - place, place), doc))
-            doc, place = doc[order], place[order]
-            spot, is_hot = np.where(place < 0, -1 - place, place), place < 0
             with_any = set(np.unique(doc).tolist()) - copies
             at = [i for i, x in enumerate(ids.tolist()) if x in with_any]
             ids, texts = ids[at], [texts[i] for i in at]
@@ -365,19 +388,17 @@ def _contexts(length: int, buckets: int):
                 of, anchor, h = (np.concatenate(x) for x in zip(*found, strict=True))
                 first, last = runs(of, anchor, h, np.array([len(t) for t in texts]), length)
                 # Which anchors are candidates, and which of them hot.
-                kind = np.dtype([("d", np.int64), ("p", np.int64)])
-                mine = np.empty(len(of), kind)
-                mine["d"], mine["p"] = ids[of], anchor
-                known = np.empty(len(doc), kind)
-                known["d"], known["p"] = doc, spot
-                where = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                keep = (known[where] == mine) & (first <= last)
-                of, first, last, h, hot = of[keep], first[keep], last[keep], h[keep], is_hot[where[keep]]
+                _, number_of = np.unique(np.concatenate([ids, doc]), return_inverse=True)
+                mine = (number_of[: len(ids)][of] << 32) + anchor
+                known = np.sort((number_of[len(ids) :] << 33) + (np.where(place < 0, -1 - place, place) << 1) + (place < 0))
+                where = np.minimum(np.searchsorted(known, mine << 1), len(known) - 1)
+                keep = (known[where] >> 1 == mine) & (first <= last)
+                of, first, last, h, hot = of[keep], first[keep], last[keep], h[keep], (known[where[keep]] & 1).astype(bool)
                 numbers: dict[bytes, int] = {}
                 bucket, least = [], []
-                records = []
+                records, own_ids = [], ids.tolist()
                 for i, f, t, x, wide in zip(of.tolist(), first.tolist(), last.tolist(), (h % _U(buckets)).tolist(), hot.tolist(), strict=True):
-                    text, d = texts[i], int(ids[i])
+                    text, d = texts[i], own_ids[i]
                     for s, n in ((s, 1) for s in range(f, t + 1)) if wide else ((f, t - f + 1),):
                         said = text[s : s + n + length - 1]
                         number = numbers.setdefault(said, len(numbers))
