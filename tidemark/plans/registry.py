@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+#: Added before rounding, so that exact halves are not decided by the last bit.
+APART = 3.3e-10
 
 
 def query(sql: str | None = None, rounded: str = "") -> Callable:
@@ -19,11 +21,11 @@ def query(sql: str | None = None, rounded: str = "") -> Callable:
 
     def add(fn: Callable) -> Callable:
         def run(spark, sf):
-            return fn(spark, sf).withColumns({c: F.round(c, 8) + 0.0 for c in rounded.split()})
+            return fn(spark, sf).withColumns({c: F.round(F.col(c) + APART, 8) + 0.0 for c in rounded.split()})
 
         QUERIES[fn.__name__] = wraps(fn)(run) if rounded else fn
         if sql:
-            ORACLES[fn.__name__] = f"SELECT * REPLACE ({', '.join(f'round({c}, 8) + 0.0 AS {c}' for c in rounded.split())}) FROM ({sql})" if rounded else sql
+            ORACLES[fn.__name__] = f"SELECT * REPLACE ({', '.join(f'round({c} + {APART}, 8) + 0.0 AS {c}' for c in rounded.split())}) FROM ({sql})" if rounded else sql
         return fn
 
     return add
