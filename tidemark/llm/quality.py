@@ -144,13 +144,14 @@ def rate(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS,
     bins = bulk.select("g", F.posexplode("x").alias("k", "v")).groupBy("g", "k", F.floor(F.col("v") * 50).alias("bin")).agg(F.count("*").alias("n"))
     enough = bulk.groupBy("g").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_rows).select("g")
     fitted = "g string, center array<double>, precision array<double>"
-    params = cut(bins.join(enough, "g", "left_semi").groupBy("g").applyInPandas(_start, fitted))
+    # Bins are added up before they are dealt by group: else each task's part of every bin would go there.
+    params = cut(cut(bins).join(enough, "g", "left_semi").groupBy("g").applyInPandas(_start, fitted))
     for _ in range(steps):
         near = bulk.join(params, "g").withColumn("bin", F.floor(8 * F.log2(_distance() + 1e-3)))
         s = [F.sum(F.col("x")[k]) for k in range(5)]
         ss = {(i, j): F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(5) for j in range(i, 5)}
         moments = [F.array(*s).alias("s"), F.array(*[ss[min(i, j), max(i, j)] for i in range(5) for j in range(5)]).alias("ss")]
-        params = cut(near.groupBy("g", "bin").agg(F.count("*").alias("n"), *moments).groupBy("g").applyInPandas(_concentrate, fitted))
+        params = cut(cut(near.groupBy("g", "bin").agg(F.count("*").alias("n"), *moments)).groupBy("g").applyInPandas(_concentrate, fitted))
     rated = rows.join(params, "g", "left").withColumn("distance", _distance())
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return rated.select("doc_id", *STATS, "base_failed", verdict.alias("kept"), "distance")
