@@ -26,6 +26,8 @@ from tidemark.llm.common import SPACE_BYTES, cut
 
 SYMBOLS = "#*$%&|<>"
 LEAST_ROWS, BULK, STEPS = 50, 0.75, 4
+#: Estimates that are sent to every task, at most; each takes about 300 bytes.
+BROADCAST_GROUPS = 50_000
 #: Squared distance beyond which a text is an outlier: far out, as 5 normal variables pass 36 once in a million.
 CUTOFF = 60.0
 #: Scatter of three quarters of normal rows in 5 dimensions is this much too small.
@@ -136,22 +138,26 @@ def rate(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS,
     stats = cut(with_stats(docs).withColumn("base_failed", failed))
     key = F.to_json(F.struct("lang", "source"))
     sizes = stats.filter("not base_failed").groupBy(key.alias("key")).agg(F.count("*").alias("rows"))
-    own = stats.withColumn("key", key).join(cut(sizes), "key", "left")
+    sizes = cut(sizes)
+    own = stats.withColumn("key", key).join(F.broadcast(sizes) if sizes.count() <= BROADCAST_GROUPS else sizes, "key", "left")
     rows = own.withColumn("g", F.when(F.col("rows") >= least_rows, F.col("key")).otherwise("*")).withColumn("x", F.array(*_vector())).drop("key", "rows")
     rows = cut(rows)
     bulk = rows.filter("not base_failed")
 
     bins = bulk.select("g", F.posexplode("x").alias("k", "v")).groupBy("g", "k", F.floor(F.col("v") * 50).alias("bin")).agg(F.count("*").alias("n"))
-    enough = bulk.groupBy("g").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_rows).select("g")
+    enough = cut(bulk.groupBy("g").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_rows).select("g"))
+    # An estimate is one row of 30 numbers for each group. While there are few groups they go to every task, so that
+    # no row is dealt by its group; beyond that the join is a shuffled one, whose skewed partitions Spark splits.
+    sent = F.broadcast if enough.count() <= BROADCAST_GROUPS else lambda df: df
     fitted = "g string, center array<double>, precision array<double>"
     # Bins are added up before they are dealt by group: else each task's part of every bin would go there.
     params = cut(cut(bins).join(enough, "g", "left_semi").groupBy("g").applyInPandas(_start, fitted))
     for _ in range(steps):
-        near = bulk.join(params, "g").withColumn("bin", F.floor(8 * F.log2(_distance() + 1e-3)))
+        near = bulk.join(sent(params), "g").withColumn("bin", F.floor(8 * F.log2(_distance() + 1e-3)))
         s = [F.sum(F.col("x")[k]) for k in range(5)]
         ss = {(i, j): F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(5) for j in range(i, 5)}
         moments = [F.array(*s).alias("s"), F.array(*[ss[min(i, j), max(i, j)] for i in range(5) for j in range(5)]).alias("ss")]
         params = cut(cut(near.groupBy("g", "bin").agg(F.count("*").alias("n"), *moments)).groupBy("g").applyInPandas(_concentrate, fitted))
-    rated = rows.join(params, "g", "left").withColumn("distance", _distance())
+    rated = rows.join(sent(params), "g", "left").withColumn("distance", _distance())
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return rated.select("doc_id", *STATS, "base_failed", verdict.alias("kept"), "distance")
