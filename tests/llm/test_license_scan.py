@@ -67,3 +67,14 @@ def test_query_on_real_documents(spark):
     assert tuples(rows) == [plain(d.text) for d in docs]
     for d, r in zip(docs, rows, strict=True):
         assert ("GNU General Public License, version 3" in d.text) == ("gpl-3" in r.labels)
+
+
+def test_long_texts_and_several_notices(spark):
+    notices = [t for _, t, _ in L.TEMPLATES]
+    everyday = " ".join(sorted(w for w, x in L.build_index()[1].items() if x > 2.8)) + " plain words"
+    gpl = "licensed under the gnu general public license version 3"
+    texts = [f"{notices[0]}. {notices[4]}", ". ".join(notices), f"{everyday} {gpl} {everyday}", *(f"{everyday}. {t}. {everyday}" for t in notices)]
+    want = [{"mit", "bsd"}, {t[0] for t in L.TEMPLATES}, {"gpl-3"}, *({t[0]} for t in L.TEMPLATES)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for w, r in zip(want, L.scan(df).orderBy("doc_id").collect(), strict=True):
+        assert w <= set(r.labels.split(",")), r

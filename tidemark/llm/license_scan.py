@@ -2,8 +2,8 @@
 
 Built from DataFrame functions only; each text is scanned within its row and nothing is shuffled. Templates are
 turned into postings: word, template, position. A word's IDF is the logarithm of the templates over those that
-have it; words of ``MIN_IDF`` or more, but for common ones, are the index. Of a text the ``TOP_WORDS`` highest-IDF licence words are
-looked up. Each occurrence and each posting of its word vote for a template at a relative position (place in the
+have it; words of ``MIN_IDF`` or more, but for common ones, are the index, and every one of them in a text is
+looked up, so that neither long texts nor several notices lose votes. Each occurrence and each posting of its word vote for a template at a relative position (place in the
 text less place in the template); a template's best position must reach ``MIN_SHARE`` of the votes that it can
 get, and its mandatory phrases must be in the text. Votes are counted by sorting, in time that follows their number.
 
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MIN_IDF, TOP_WORDS, MIN_SHARE = 1.0, 16, 0.7
+#: ``TOP_WORDS`` of None lets all indexed words of a text vote.
+MIN_IDF, TOP_WORDS, MIN_SHARE = 1.0, None, 0.7
 
 # Words of any English text, which are no licence words however few templates have them.
 COMMON = frozenset("a an and any are as at be by can except for free from has have hereby if in into is it law may met no not of on or other out possible provided subject such than that the their this to under up us use was were will with without work you your".split())
@@ -106,13 +107,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=None) -> DataFrame:
     none = F.array().cast("array<int>")
     rows = rows.withColumn("found", F.when(F.size("hits") > 0, F.array(*[places(p) for p in base])).otherwise(F.array(*[none] * len(base))))
 
-    # The words that the text's highest-IDF licence words are, then the votes of their postings.
-    rank = _map({w: F.struct(F.lit(-idf[w]).alias("idf"), F.lit(w).alias("w")) for w in idf})
-    licence = F.filter(F.array_distinct(F.transform("hits", lambda h: h["w"])), lambda w: w.isin(list(idf)))
-    rows = rows.withColumn("top", F.when(F.size("hits") > 0, F.transform(F.slice(F.array_sort(F.transform(licence, lambda w: F.element_at(rank, w))), 1, TOP_WORDS), lambda x: x["w"])))
+    # The votes of the postings of every licence word in the text.
     lists = _map({w: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in ps]) for w, ps in postings.items()})
-    votes = F.flatten(F.transform(F.filter("hits", lambda h: F.array_contains("top", h["w"])), lambda h: F.transform(F.element_at(lists, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["q"]).alias("d")))))
-    rows = rows.withColumn("votes", F.when(F.size("top") > 0, F.array_sort(votes)))
+    votes = F.flatten(F.transform(F.filter("hits", lambda h: h["w"].isin(list(idf))), lambda h: F.transform(F.element_at(lists, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["q"]).alias("d")))))
+    rows = rows.withColumn("votes", F.when(F.size("hits") > 0, F.array_sort(votes)))
 
     def best(t: int) -> Column:
         """Votes for the best relative position: the longest run among the sorted ones."""
@@ -126,10 +124,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=None) -> DataFrame:
         return F.aggregate(own, start, step, lambda acc: acc["best"])
 
     said = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    can = [min(n, sum(x in TOP for x in words)) for n, words, TOP in ((most[t], templates[t][1].split(), _top_of(templates[t][1], idf)) for t in range(len(templates)))]
     verified = []
     for t, (label, _, mandatory) in enumerate(templates):
-        share = F.least(F.lit(1.0), F.col("best")[t] / F.lit(float(max(1, can[t]))))
+        share = F.least(F.lit(1.0), F.col("best")[t] / F.lit(float(max(1, most[t]))))
         there = reduce(lambda a, b: a & b, [F.contains("said", F.lit(f" {p} ")) for p in mandatory])
         verified.append(F.when((share >= MIN_SHARE) & there, F.struct(F.lit(label).alias("label"), share.alias("share"))))
     rows = rows.withColumn("best", F.when(F.size("votes") > 0, F.array(*[best(t) for t in range(len(templates))])))
@@ -156,5 +153,5 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=None) -> DataFrame:
 
 
 def _top_of(text: str, idf: dict[str, float]) -> set[str]:
-    """A template's own highest-IDF words, as a text that is just the template would have them looked up."""
+    """A template's own indexed words."""
     return set(sorted({w for w in re.split(r"\s+", text) if w in idf}, key=lambda w: (-idf[w], w))[:TOP_WORDS])
