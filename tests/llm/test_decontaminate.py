@@ -90,3 +90,40 @@ def test_empty_tables_and_null_ids(spark):
     assert D.contaminated(docs.limit(0), bench).count() == 0
     assert [r.doc_id for r in D.contaminated(docs, bench).collect()] == [None]
     assert [r.doc_id for r in D.drop_contaminated(docs, bench).collect()] == [1]
+
+
+def brute_force(docs, items, threshold=0.8):
+    """The best similarity of each pair over windows at all starts."""
+    out = {}
+    for i, it in items:
+        iw = words(it)
+        g = grams(iw)
+        for d, t in docs:
+            w, k = words(t), min(5, len(iw))
+            own, theirs = ({tuple(x[p : p + k]) for p in range(len(x) - k + 1)} for x in (iw, w))
+            for s in range(1 - len(iw), len(w)) if k and own & theirs else ():
+                h = grams(w[max(0, s) : s + len(iw)])
+                sim = sum((g & h).values()) / sum((g | h).values())
+                if sim >= threshold:
+                    out[d, i] = max(out.get((d, i), 0), sim)
+    return out
+
+
+@pytest.mark.parametrize("literal_bound", [50_000, 0])
+def test_windows_at_all_starts(spark, literal_bound):
+    rng = random.Random(5)
+    items = [(n, " ".join(f"{rng.choice('abcdefgh') * rng.randint(1, 5)}{n}x{k}" for k in range(n))) for n in (3, 6, 30, 60, 80, 100)]
+    docs = []
+    for n, text in items:
+        w, fill = text.split(), [f"w{k}" for k in range(40)]
+        swapped = [*w[n // 2 :], *w[: n // 2]]
+        pieces = [*w[: n // 4], "one", "two", *w[n // 4 : n // 2], "three", *w[n // 2 :]]
+        docs += [(1000 + 10 * n + k, " ".join(x)) for k, x in enumerate([[*fill, *swapped, *fill], swapped, [*fill, *pieces, *fill], pieces, w])]
+    lost = {(1600, 60), (1800, 80), (2000, 100)}
+    more_docs, more_items = make()
+    docs, items = docs + more_docs, items + [(1000 + i, t) for i, t in more_items]
+    want = brute_force(docs, items)
+    assert lost <= set(want) and not lost & set(plain(docs, items))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in D.matches(df, bench, literal_bound=literal_bound).collect()}
+    assert got == {k: round(v, 9) for k, v in want.items()}

@@ -6,7 +6,9 @@ shingles of the smaller count over the sum of the larger.
 
 1. Anchors. A window that similar holds at least ``threshold`` of the item's shingles, so any choice of more
    than the rest of them must meet it. Each item's anchors are its shingles whose longest word is longest, just
-   as many as that takes. Windows are laid at every place where a document has an anchor, aligned to the item.
+   as many as that takes. Around every place where a document has an anchor, all item-sized windows that cover
+   it are looked at, wherever the item has the anchor; those go on that hold enough places with a shingle of the
+   item to reach ``threshold``. That count is no less than the shared one, so no match is lost.
    The gate words (the longest of each anchor) and then the anchors' hashes are looked up in the row itself.
 2. Fingerprints. Each distinct window and each item gets a 64-bit SimHash of its shingles. It is cut into 8
    blocks. Two fingerprints within ``radius`` = 23 bits agree up to 2 bits in some block; items are listed under
@@ -116,6 +118,24 @@ def _hits(docs: DataFrame, anchors: DataFrame, longest: int, widths: list[int],
     return out
 
 
+def _windows(hits: DataFrame, anchors: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, start, size, window): windows over a hit with enough places whose shingle the item has."""
+    near = hits.join(anchors.select("item_id", "size", "width", "anchor").distinct(), ["anchor", "width"])
+    near = near.join(items.select("item_id", F.array_distinct("hashes").alias("own")), "item_id")
+    # Places low to high are those of all shingles that windows over the hit can hold.
+    low, high = F.expr("greatest(0, at - size + width)"), F.expr("least(at + size - width, first + size(context) - width)")
+    near = near.withColumn("low", low).withColumn("high", high)
+    shared = F.expr("transform(sequence(low, high), p -> CAST(array_contains(own, xxhash64(array_join(slice(context, p - first + 1, width), ' '))) AS INT))")
+    n, of = "greatest(1, size - width + 1)", "(least(high, s + size - width) - greatest(0, s) + 1)"
+    inside = f"aggregate(slice(x, greatest(0, s) - low + 1, {of}), 0, (a, y) -> a + y)"
+    enough = f"{inside} * (1 + {threshold}D) >= {threshold}D * ({n} + {of}) - 1e-9D"
+    # The one-element array binds x, so that it is computed once for all windows.
+    starts = F.expr(f"flatten(transform(array(shared), x -> filter(sequence(at - size + width, at), s -> {enough})))")
+    near = near.withColumn("shared", shared).withColumn("starts", starts).select("doc_id", "size", "first", "context", F.explode("starts").alias("s"))
+    window = F.expr("array_join(slice(context, greatest(0, s) - first + 1, s + size - greatest(0, s)), ' ')")
+    return near.select("doc_id", F.greatest(F.lit(0), "s").alias("start"), "size", window.alias("window"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, literal_bound: int = 50_000) -> DataFrame:
     """(doc_id, item_id, start, similarity): for each pair that matches its most similar window, the first of equals.
 
@@ -129,10 +149,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     if not shape["widths"]:
         return docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity")).limit(0)
     hits = _hits(docs, anchors, shape["longest"], sorted(shape["widths"]), literal_bound)
-    laid = hits.join(anchors.withColumnRenamed("at", "in_item").drop("gate"), ["anchor", "width"])
-    window = F.expr("array_join(slice(context, greatest(0, at - in_item) - first + 1, at - in_item + size - greatest(0, at - in_item)), ' ')")
-    laid = laid.select("doc_id", F.expr("greatest(0, at - in_item)").alias("start"), "size", window.alias("window"))
-    windows = cut(laid.distinct())
+    windows = cut(_windows(hits, anchors, items, threshold).distinct())
 
     contents = windows.select("size", "window").distinct().withColumn("words", F.split("window", " "))
     contents = cut(_with_fingerprint(contents).select("size", "window", "fp", "shingles"))
