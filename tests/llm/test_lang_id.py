@@ -42,3 +42,23 @@ def test_edge_cases(spark):
     assert G.identify(df.limit(0)).count() == 0
     unlabelled = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert G.identify(unlabelled).first().lang_pred == "und"
+
+
+def test_unlearned_languages_and_gibberish_are_rejected(spark):
+    rng = np.random.default_rng(1)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    odd = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem",
+        "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler",
+        "tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền",
+        " ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(60)),
+        binascii.b2a_base64(rng.bytes(600)).decode(),
+        rng.bytes(300).hex(),
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = G.fit(docs.filter(~G.held_out(docs.doc_id)))
+    assert all(model.predict(odd, G.REJECT_RATIO)[2])
+    assert not all(model.predict(odd, 0.25)[2])
+    clean = [r.text for r in docs.collect() if len((r.text or "").split()) >= 20]
+    assert not any(model.predict(clean, G.REJECT_RATIO)[2])
