@@ -90,3 +90,15 @@ def test_edge_cases(spark):
     assert not any(got[k].kept for k in (100, 101, 102, 103)) and got[102].base_failed and not got[103].base_failed
     assert got[None].kept and got[0].kept and got[None].distance is None
     assert Q.rate(df.limit(0)).count() == 0
+
+
+def test_moderate_symbols_and_repeated_lines_are_outliers(spark):
+    rows = [(i, " ".join(f"w{i}{k}" for k in range(30 + i % 5)), "en", "s") for i in range(80)]
+    rows += [(100, " ".join(f"x{k}#" for k in range(10, 42)), "en", "s")]
+    rows += [(101, " ".join(f"{k}{'#' if k % 4 else '##'}{k}" for k in range(10, 42)), "en", "s")]
+    rows += [(102, "\n".join(f"w5{k // 2}" for k in range(32)), "en", "s")]
+    got = {r.doc_id: r for r in Q.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for k in (100, 101, 102):
+        assert not got[k].base_failed and not got[k].kept and 36 < got[k].distance, got[k]
+    assert min(got[k].distance for k in (100, 101, 102)) < 60
+    assert all(got[k].kept for k in range(80))

@@ -29,7 +29,7 @@ LEAST_ROWS, BULK, STEPS = 50, 0.75, 4
 #: Estimates that are sent to every task, at most; each takes about 300 bytes.
 BROADCAST_GROUPS = 50_000
 #: Squared distance beyond which a text is an outlier: far out, as 5 normal variables pass 36 once in a million.
-CUTOFF = 60.0
+CUTOFF = 36.0
 #: Scatter of three quarters of normal rows in 5 dimensions is this much too small.
 CONSISTENCY = 1.41
 #: Least standard deviation of each statistic; most texts have no symbol or repeat at all, which has no scatter.
