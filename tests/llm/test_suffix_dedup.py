@@ -13,7 +13,7 @@ def plain(rows, length=50):
     seen, out, order = set(), {}, sorted(range(len(rows)), key=lambda i: S.NO_ID if rows[i][0] is None else rows[i][0])
     fresh, last = set(), None
     for i in order:
-        d, t = rows[i]
+        d, t = rows[i][0] if rows[i][0] is not None else S.NO_ID, rows[i][1]
         if d != last:
             seen |= fresh
             fresh, last = set(), d
@@ -26,7 +26,7 @@ def plain(rows, length=50):
                 gone[s : s + length] = b"\x01" * length
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
-        out[i] = (d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out[i] = (rows[i][0], len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return sorted(out.values(), key=str)
 
 
@@ -44,6 +44,10 @@ def make(seed, n=120):
         text = "".join(p[rng.randint(0, 20) :] if rng.random() < 0.3 else p for p in parts)
         rows.append((d * 37 % 1009, text))
     rows += [(2000 + k, rows[3][1]) for k in range(5)] + [(2010, None), (2011, ""), (2012, "x" * 49), (2013, "x" * 50), (2014, "x" * 50), (None, rows[5][1]), rows[7]]
+    # Null and repeated doc_ids with different texts, with texts that others have, and twice over.
+    own = ["".join(word() for _ in range(40)) for _ in range(6)]
+    rows += [(None, own[0]), (None, own[1]), (None, own[0]), (None, own[2] + passages[0]), (None, own[2]), (None, None), (None, "")]
+    rows += [(rows[3][0], own[3]), (rows[3][0], own[3] + own[4]), (3000, own[4]), (3000, own[5]), (3000, own[5] + own[1]), (3001, own[5]), (-4, own[5]), ((1 << 63) - 1, own[4])]
     return rows
 
 
@@ -79,6 +83,19 @@ def test_equals_plain_version(spark, hot, unit):
     assert collect(S.remove_repeats(df, unit_bytes=unit, hot_at=hot)) == plain(rows)
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    a, b = "".join(chr(97 + k * k % 23) for k in range(80)), "".join(chr(97 + k * k * k % 19) for k in range(529))
+    for rows in ([(1, a), (None, a), (None, b)], [(1, a), (2, a), (2, b)]):
+        got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.n_bytes, r.n_removed) for r in got) == [(80, 0), (80, 80), (529, 0)]
+
+
+def test_other_columns_are_not_looked_at(spark):
+    rows = [(k, "text " * 30, k, k, "x") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id long, shard long, digest string")
+    assert sorted(r.n_removed for r in S.remove_repeats(df).collect()) == [0, 150, 150]
+
+
 def test_query_on_real_documents(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

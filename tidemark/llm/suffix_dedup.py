@@ -18,12 +18,16 @@ document's windows fall into runs with the same anchor, so a text needs about on
    remains, by blind tries. Of each group of equal windows the smallest doc_id is known then.
 5. ``_removed`` marks what is covered and cuts it out of the texts.
 
+A doc_id tells only which document is smaller, and which rows are one document; rows themselves are told apart by
+doc_id and text. A null doc_id is tracked by a hash of its text, so such rows are dealt like any others.
+
 Exact copies of a text are found by digest first and skip step 3. Everything moves as packed arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 from zlib import crc32
 
 import numpy as np
@@ -40,6 +44,8 @@ CHUNK, FLUSH, HOT = 1 << 17, 1 << 21, 4096
 #: Bytes of text for each bucket and shard.
 UNIT_BYTES = 4 << 20
 NO_ID = (1 << 63) - 1
+#: Rows without a doc_id are tracked by numbers from here on; as documents they all count as this one, the largest.
+OWN_IDS = (1 << 63) - (1 << 32)
 _U = np.uint64
 _POWERS = {1: 0x9E3779B97F4A7C15}
 for _k in (2, 4, 8):
@@ -346,7 +352,8 @@ def _candidates(shards: int, hot_at: int):
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             sizes = np.diff(np.append(first, len(h)))
             hot = np.logical_or.reduceat(p < 0, first) | (sizes > 4 * hot_at)
-            several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+            as_doc = np.minimum(d, OWN_IDS)
+            several = np.minimum.reduceat(as_doc, first) != np.maximum.reduceat(as_doc, first)
             keep = np.repeat(several, sizes) & (p >= 0)
             doc.append(d[keep])
             place.append(np.where(np.repeat(hot, sizes)[keep], -1 - p[keep], p[keep]))
@@ -363,8 +370,33 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     return table["id"].to_numpy(), [(t or "").encode() for t in table["text"].to_pylist()]
 
 
-def _copies(table: pa.Table) -> set[int]:
-    return {x for k, raw in zip(table["kind"].to_pylist(), table["a"].to_pylist(), strict=True) if k == 2 for x in unpack(raw, np.int64).tolist()}
+def _copies(table: pa.Table) -> dict[int, set[bytes]]:
+    """Digests of the texts by which rows of a tracking id are copies of smaller documents."""
+    found: dict[int, set[bytes]] = {}
+    for kind, ids, digests in zip(table["kind"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
+        if kind == 2:
+            for i, x in enumerate(unpack(ids, np.int64).tolist()):
+                found.setdefault(x, set()).add(digests[16 * i : 16 * i + 16])
+    return found
+
+
+def _variants(ids: np.ndarray, texts: list[bytes], copies: dict[int, set[bytes]]) -> list[int]:
+    """For each row of a shard the number of its text among those of its id, or -1 if it is a copy.
+
+    The numbers follow the order of digests, so that both steps that see a shard's rows come to the same ones.
+    """
+    out = [0] * len(texts)
+    once, counts = np.unique(ids, return_counts=True)
+    again = set(once[counts > 1].tolist())
+    digests = {i: md5(texts[i]).digest() for i, x in enumerate(ids.tolist()) if x in copies or x in again}
+    of_id: dict[int, set[bytes]] = {}
+    for i, digest in digests.items():
+        of_id.setdefault(int(ids[i]), set()).add(digest)
+    ranks = {x: {digest: k for k, digest in enumerate(sorted(own))} for x, own in of_id.items()}
+    for i, digest in digests.items():
+        x = int(ids[i])
+        out[i] = -1 if digest in copies.get(x, ()) else ranks[x][digest]
+    return out
 
 
 def _contexts(length: int, buckets: int):
@@ -376,13 +408,14 @@ def _contexts(length: int, buckets: int):
         a, b = right["a"].to_pylist(), right["b"].to_pylist()
         own = [i for i, k in enumerate(kinds) if k == 0]
         if own and len(left):
-            copies = _copies(right)
             ids, texts = _texts(left)
+            variants = _variants(ids, texts, _copies(right))
             doc = np.concatenate([unpack(a[i], np.int64) for i in own])
             place = np.concatenate([unpack(b[i], np.int32) for i in own]).astype(np.int64)
-            with_any = set(np.unique(doc).tolist()) - copies
-            at = [i for i, x in enumerate(ids.tolist()) if x in with_any]
-            ids, texts = ids[at], [texts[i] for i in at]
+            with_any = set(np.unique(doc).tolist())
+            # Repeated rows count once: what goes from one of them goes from all.
+            at = list({(x, v): i for i, (x, v) in enumerate(zip(ids.tolist(), variants, strict=True)) if v >= 0 and x in with_any}.values())
+            ids, texts, variants = ids[at], [texts[i] for i in at], [variants[i] for i in at]
             found = list(find_anchors(texts, length))
             if found:
                 of, anchor, h = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -399,21 +432,22 @@ def _contexts(length: int, buckets: int):
                 records, own_ids = [], ids.tolist()
                 for i, f, t, x, wide in zip(of.tolist(), first.tolist(), last.tolist(), (h % _U(buckets)).tolist(), hot.tolist(), strict=True):
                     text, d = texts[i], own_ids[i]
+                    as_doc, variant = min(d, OWN_IDS), variants[i] << 8
                     for s, n in ((s, 1) for s in range(f, t + 1)) if wide else ((f, t - f + 1),):
                         said = text[s : s + n + length - 1]
                         number = numbers.setdefault(said, len(numbers))
                         if number == len(bucket):
                             bucket.append(crc32(said) % buckets if wide else x)
-                            least.append(d)
-                        elif d < least[number]:
-                            least[number] = d
-                        records.append((d, s, number, n))
+                            least.append(as_doc)
+                        elif as_doc < least[number]:
+                            least[number] = as_doc
+                        records.append((d, s, number, variant | n))
                 strings, least = list(numbers), np.array(least, np.int64)
                 for key, which in _split(np.array(bucket, np.int64), np.arange(len(bucket))):
                     picked = [strings[k] for k in which.tolist()]
                     rows.append((key, 0, shard, pack(which.astype(np.int32)), pack(least[which]), pack(np.array([len(s) for s in picked], np.int16)), b"".join(picked)))
                 d, s, number, n = (np.array(x) for x in zip(*records, strict=True)) if records else [np.empty(0, np.int64)] * 4
-                rows.append((shard % buckets, 1, shard, pack(d), pack(s.astype(np.int32)), pack(number.astype(np.int32)), pack(n.astype(np.int16))))
+                rows.append((shard % buckets, 1, shard, pack(d), pack(s.astype(np.int32)), pack(number.astype(np.int32)), pack(n.astype(np.int32))))
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -477,15 +511,17 @@ def _removed(length: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = right["kind"].to_pylist()
         a, b, c, d = (right[x].to_pylist() for x in "abcd")
-        copies = _copies(right)
-        spans: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        spans: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         if 1 in kinds:
             at = kinds.index(1)
-            doc, start, number, n = unpack(a[at], np.int64), unpack(b[at], np.int32).astype(np.int64), unpack(c[at], np.int32), unpack(d[at], np.int16).astype(np.int64)
+            doc, start, number, n = unpack(a[at], np.int64), unpack(b[at], np.int32).astype(np.int64), unpack(c[at], np.int32), unpack(d[at], np.int32).astype(np.int64)
+            # A row is its id's place among the ids and the number of its text; 8 bits of n are the windows.
+            own, row = np.unique(doc, return_inverse=True)
+            row, n, doc = row << 24 | n >> 8, n & 255, np.minimum(doc, OWN_IDS)
             least = np.full(int(number.max(initial=-1)) + 1, NO_ID)
             np.minimum.at(least, number, doc)
             whole = doc > least[number]
-            docs, low, high = [doc[whole]], [start[whole]], [start[whole] + n[whole] - 1 + length]
+            docs, low, high = [row[whole]], [start[whole]], [start[whole] + n[whole] - 1 + length]
             parts = [(unpack(a[i], np.int32), unpack(b[i], np.int16), unpack(c[i], np.int16)) for i, k in enumerate(kinds) if k == 0]
             if parts:
                 run_, first, m = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
@@ -495,20 +531,20 @@ def _removed(length: int):
                 begin, end = np.searchsorted(run_, number[mine], "left"), np.searchsorted(run_, number[mine], "right")
                 rec = np.repeat(mine, end - begin)
                 which = np.arange(len(rec)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)
-                docs.append(doc[rec])
+                docs.append(row[rec])
                 low.append(start[rec] + first[which])
                 high.append(start[rec] + first[which] + m[which] - 1 + length)
             docs, low, high = np.concatenate(docs), np.concatenate(low), np.concatenate(high)
             for key, x, y in _split(docs, low, high):
-                spans[key] = (x, y)
+                spans[int(own[key >> 24]), key & 0xFFFFFF] = (x, y)
         out = []
         ids, texts = _texts(left) if len(left) else (np.empty(0, np.int64), [])
-        for i, text in zip(ids.tolist(), texts, strict=True):
+        for i, variant, text in zip(ids.tolist(), _variants(ids, texts, _copies(right)), texts, strict=True):
             size = len(text)
-            if i in copies and size >= length:
+            if variant < 0:
                 out.append((size, size, 1, b""))
-            elif i in spans and i not in copies:
-                x, y = spans[i]
+            elif (i, variant) in spans:
+                x, y = spans[i, variant]
                 depth = np.bincount(x, minlength=size + 1)[: size + 1] - np.bincount(y, minlength=size + 1)[: size + 1]
                 gone = np.cumsum(depth)[:size] > 0
                 begins = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
@@ -532,33 +568,41 @@ def _prime(n: int) -> int:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, unit_bytes: int = UNIT_BYTES, hot_at: int = HOT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary).
 
-    * A null text counts as empty; texts shorter than ``length`` bytes are kept whole.
-    * Rows with the same doc_id are one document to each other: they never remove each other's bytes. Such rows must
-      have the same text, as repeated rows do. A null doc_id counts as the largest.
+    * A null text counts as empty; texts shorter than ``length`` bytes are kept whole and are not shuffled.
+    * Rows with the same doc_id are one document: they never remove each other's bytes, whatever their texts are, and
+      meet in one task as one document does. Repeated rows get the same result.
+    * Null doc_ids (and those of ``OWN_IDS`` or more) count as one document, the largest; their rows are dealt by text.
+    * Very long texts are hashed in pieces, but each must fit in a task's memory a few times.
     * What is kept may end within a character, so it is binary. Other columns are not looked at.
     * An empty table gives an empty result.
     """
     if length < GRAM + 4:
         raise ValueError(f"length must be {GRAM + 4} at least")
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string"))
-    digests = cut(rows.select("id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.octet_length("text").alias("size")))
+    doc_id, own = F.col("doc_id").cast("long"), F.lit(OWN_IDS) + F.pmod(F.xxhash64("text"), F.lit(1 << 32))
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("id", F.when(doc_id < OWN_IDS, doc_id).otherwise(own)).withColumn("size", F.octet_length("text"))
+    short, rows = rows.filter(F.col("size") < length), rows.filter(F.col("size") >= length)
+    digests = cut(rows.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "size"))
     total = digests.agg(F.sum("size")).first()[0] or 0
     shards = buckets = _prime(max(37, -(-total // unit_bytes)))
 
-    originals = cut(digests.groupBy("digest").agg(F.min("id").alias("original")))
-    copies = digests.join(originals, "digest").filter("id > original").select("id")
+    as_doc = F.least("id", F.lit(OWN_IDS))
+    originals = cut(digests.groupBy("digest").agg(F.min(as_doc).alias("original"), F.max(as_doc).alias("last")).filter("last > original"))
+    copies = digests.join(originals, "digest").filter(as_doc > F.col("original")).select("id", "digest")
 
     def pack_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield _batch([(key, 2, key, pack(x), None, None, None) for key, x in _split(ids % shards, ids)])
+            ids, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            yield _batch([(key, 2, key, pack(x), b"".join(own[k] for k in at.tolist()), None, None) for key, x, at in _split(ids % shards, ids, np.arange(len(ids)))])
 
     copied = cut(copies.distinct().mapInArrow(pack_copies, PACKED))
-    texts = rows.withColumn("shard", F.pmod("id", F.lit(shards)))
+    texts = rows.select("doc_id", "id", "text").withColumn("shard", F.pmod("id", F.lit(shards)))
 
     found = rows.select("id", "text").mapInArrow(_anchors(length, buckets, hot_at), PACKED)
     found = cut(found.groupBy("key").applyInArrow(_candidates(shards, hot_at), PACKED)).union(copied)
     release(docs.sparkSession)  # the packed anchors are not needed any more
     said = texts.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_contexts(length, buckets), PACKED)
     gone = said.groupBy("key").applyInArrow(_repeats(length), PACKED).union(copied)
-    return texts.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cleaned = texts.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    none = F.lit(0).cast("long")
+    return cleaned.union(short.select("doc_id", F.col("size").cast("long"), none, none, F.col("text").cast("binary")))
