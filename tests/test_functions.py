@@ -40,7 +40,7 @@ def test_names(spark):
 
 
 def test_small_parsers(spark):
-    df = spark.createDataFrame([("spotify:track:abc", "http://x/y/z//", "2011-05", '["A","B"]', 0.5), ("spotify:episode:e", "q", "x", '[{"name":"C"}]', 72.0), (None, "", None, "D", float("nan"))], "u string, h string, d string, j string, e double")
+    df = spark.createDataFrame([("svc:track:abc", "http://x/y/z//", "2011-05", '["A","B"]', 0.5), ("svc:episode:e", "q", "x", '[{"name":"C"}]', 72.0), (None, "", None, "D", float("nan"))], "u string, h string, d string, j string, e double")
     got = df.select(X.uri_id(F.col("u")), X.last_segment(F.col("h")), X.leading_year(F.col("d")), X.first_artist(F.col("j")), X.eta(F.col("e"))).collect()
     assert [tuple(r) for r in got] == [("abc", "z", 2011, "A", "~30 min"), (None, "q", None, "C", "~3.0 days"), (None, None, None, "D", "—")]
     sim = spark.createDataFrame([("a b c", "b c d"), ("", "a")], "x string, y string").select(X.jaccard(F.col("x"), F.col("y"))).collect()
@@ -147,13 +147,13 @@ def test_files_are_decoded_and_errors_are_rows(spark, tmp_path):
 
 
 def test_history_files(spark, tmp_path):
-    row = {"ts": "2024-01-01T18:30:00Z", "ms_played": 30000, "master_metadata_track_name": "T", "master_metadata_album_artist_name": "A", "spotify_track_uri": "spotify:track:x", "skipped": False}
+    row = {"ts": "2024-01-01T18:30:00Z", "ms_played": 30000, "master_metadata_track_name": "T", "master_metadata_album_artist_name": "A", "own_track_uri": "svc:track:x", "skipped": False}
     rows = [row, row | {"master_metadata_track_name": None}, row | {"master_metadata_album_artist_name": ""}, row | {"ts": "never"}, row | {"ts": "2024-01-02T00:00:00", "ms_played": None}]
     (tmp_path / "Streaming_History_Audio_2023_1.json").write_text(json.dumps(rows))
     (tmp_path / "Streaming_History_Audio_2024_2.json").write_text(json.dumps([row]))
     (tmp_path / "Streaming_History_Audio_2025_3.json").write_text("{ not json")
     (tmp_path / "Streaming_History_Video_2023.json").write_text(json.dumps([row]))
-    raw = history.read_history(spark, str(tmp_path))
+    raw = history.read_history(spark, str(tmp_path), uri_field="own_track_uri")
     assert history.parse_stats(raw).first().asDict() == {"files": 2, "rows": 6, "tracks": 3, "skipped_non_music": 2, "bad_rows": 1, "unreadable": 1}
     got = history.parse(raw).orderBy("source_file", "ts").collect()
     assert [(r.ms_played, r.external_id, r.short_play, r.source_file[-6:]) for r in got] == [(30000, "x", False, "1.json"), (0, "x", True, "1.json"), (30000, "x", False, "2.json")]

@@ -67,7 +67,7 @@ def normalize(c: Column, native: bool = False) -> Column:
 
 def tags_of(c: Column, names=None) -> Column:
     """Names of the variant markers found in a text, in the order tried."""
-    return F.array_compact(F.array(*[F.when(c.rlike(f"(?i){p}"), F.lit(n)) for n, p in VARIANTS if names is None or n in names]))
+    return F.array_compact(F.array(*[F.when(c.rlike(f"(?iU){p}"), F.lit(n)) for n, p in VARIANTS if names is None or n in names]))
 
 
 def parse_title(title: Column, album: Column) -> Column:
@@ -82,11 +82,11 @@ def parse_title(title: Column, album: Column) -> Column:
 
     def of_marked(marked: Column) -> Column:
         found = F.when(F.size(marked) > 0, F.flatten(F.transform(marked, lambda x: x["tags"]))).otherwise(tags_of(title, BARE))
-        deluxe = F.coalesce(album.rlike(f"(?i){ALBUM_DELUXE}"), F.lit(False))
+        deluxe = F.coalesce(album.rlike(f"(?iU){ALBUM_DELUXE}"), F.lit(False))
         found = F.concat(found, F.when(deluxe, F.array(F.lit("deluxe"))).otherwise(F.array().cast("array<string>")))
         cut = F.aggregate(marked, title, lambda acc, x: F.replace(F.replace(acc, F.concat(F.lit("("), x["chunk"], F.lit(")")), F.lit(" ")), F.concat(F.lit("["), x["chunk"], F.lit("]")), F.lit(" ")))
         cut = F.when(F.exists(marked, lambda x: x["chunk"] == tail), F.regexp_replace(cut, DASH_TAIL, " ")).otherwise(cut)
-        base = F.btrim(F.regexp_replace(cut, f"(?i){GUESTS}", ""), F.lit(" -–—"))
+        base = F.btrim(F.regexp_replace(cut, f"(?iU){GUESTS}", ""), F.lit(" -–—"))
         return let(F.struct(found.alias("found"), base.alias("base")), named)
 
     def named(x: Column) -> Column:
@@ -98,14 +98,23 @@ def parse_title(title: Column, album: Column) -> Column:
 
 
 def primary_artist(artist: Column) -> Column:
-    return F.split(artist, f"(?i){ARTIST_SPLIT}", 2)[0]
+    return F.split(artist, f"(?iU){ARTIST_SPLIT}", 2)[0]
+
+
+def words(c: Column) -> Column:
+    """Distinct words of a normalized text."""
+    return F.array_remove(F.array_distinct(F.split(c, " ")), "")
+
+
+def overlap(x: Column, y: Column) -> Column:
+    """Share of words that two arrays of distinct words have in common; 0 if one has none."""
+    shared = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(shared / (F.size(x) + F.size(y) - shared).cast("double"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Share of words that two normalized texts have in common; 0 if one has none."""
-    words = lambda c: F.array_remove(F.array_distinct(F.split(c, " ")), "")
-    x, y = words(a), words(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)).cast("double"))
+    return overlap(words(a), words(b))
 
 
 def occurrences(text: Column, *patterns: str) -> Column:

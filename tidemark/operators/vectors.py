@@ -84,11 +84,14 @@ def _best_of_pairs(k: int):
                 qi, vi = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 d = 1 - q @ v.T
                 d[qi[:, None] == vi[None, :]] = np.inf
-                m = min(k, d.shape[1])
-                best = np.argpartition(d, m - 1, axis=1)[:, :m]
-                dist = np.take_along_axis(d, best, axis=1)
-                ok = np.isfinite(dist)
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(qi, m).reshape(ok.shape)[ok], "id": vi[best][ok], "distance": dist[ok]})
+                # All that are no farther than the k-th; of those at the same distance the smallest ids stay.
+                last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                row, at = np.nonzero((d <= last[:, None]) & np.isfinite(d))
+                order = np.lexsort((vi[at], d[row, at], row))
+                row, at = row[order], at[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, at = row[place < k], at[place < k]
+                yield pa.RecordBatch.from_pydict({"query_id": qi[row], "id": vi[at], "distance": d[row, at]})
 
     return run
 

@@ -135,37 +135,36 @@ def match_files(spark, sf):
     return C.match_files(files, tracks)
 
 
-_VET = """WITH pairs AS (SELECT s_suppkey AS query_id, c_custkey AS candidate_id, row_number() OVER (PARTITION BY s_suppkey ORDER BY c_custkey) - 1 AS pos,
-    CASE WHEN abs(s_acctbal) >= 1 THEN abs(s_acctbal) / 10 END AS want, CASE WHEN c_custkey % 11 <> 0 THEN abs(c_acctbal) / 10 END AS got
-    FROM supplier JOIN customer ON s_nationkey = c_nationkey)"""
+#: Results that a search gives at most; each query's are a list of its own, found by key.
+VETTED, SCORED = 15, 10
 
 
-@query(_VET + """SELECT query_id, candidate_id, pos, score FROM (SELECT query_id, candidate_id, pos, coalesce(greatest(0.0, 1 - abs(want - got) / want), 1.0) AS score,
+@query(f"""WITH pairs AS (SELECT s_suppkey AS query_id, c_custkey AS candidate_id, k AS pos, CASE WHEN abs(s_acctbal) >= 1 THEN abs(s_acctbal) / 10 END AS want, CASE WHEN c_custkey % 11 <> 0 THEN abs(c_acctbal) / 10 END AS got
+    FROM supplier, range({VETTED}) r(k), customer WHERE c_custkey = s_suppkey * {VETTED} + k)
+    SELECT query_id, candidate_id, pos, score FROM (SELECT query_id, candidate_id, pos, coalesce(greatest(0.0, 1 - abs(want - got) / want), 1.0) AS score,
     row_number() OVER (PARTITION BY query_id ORDER BY pos) AS turn FROM pairs WHERE coalesce(abs(want - got) <= 15, TRUE)) WHERE turn = 1""")
 def vet_candidates(spark, sf):
-    """Customers of a supplier's nation stand in for its search results, in order of their key."""
-    from pyspark.sql.window import Window
+    """Each supplier's search results are the customers of fifteen keys, in their order."""
+    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("query_id"), F.when(F.abs("s_acctbal") >= 1, F.abs("s_acctbal") / 10).alias("want_s"))
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("candidate_id"), F.when(F.col("c_custkey") % 11 != 0, F.abs("c_acctbal") / 10).alias("got_s"))
+    found = s.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(VETTED - 1).cast("long")))).withColumn("candidate_id", F.col("query_id") * VETTED + F.col("pos"))
+    return C.vet_candidates(found.join(c, "candidate_id"))
 
-    s = load(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.when(F.abs("s_acctbal") >= 1, F.abs("s_acctbal") / 10).alias("want_s"))
-    c = load(spark, sf, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 11 != 0, F.abs("c_acctbal") / 10).alias("got_s"))
-    pos = (F.row_number().over(Window.partitionBy("s_suppkey").orderBy("c_custkey")) - 1).cast("long")
-    pairs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("s_suppkey").alias("query_id"), F.col("c_custkey").alias("candidate_id"), pos.alias("pos"), "want_s", "got_s")
-    return C.vet_candidates(pairs)
 
-
-@query("""WITH q AS (SELECT p_partkey, lower(p_name) AS title, lower(p_type) AS artist, p_size, CAST(p_retailprice * 1000 AS BIGINT) AS d FROM part),
-    pairs AS (SELECT a.p_partkey AS query_id, b.p_partkey AS candidate_id, a.title AS t, b.title AS ct, a.artist AS r, b.artist AS cr, a.d, b.d AS cd FROM q a JOIN q b
-        ON a.p_size = b.p_size AND a.p_partkey <> b.p_partkey AND b.p_partkey % 13 <> 0),
-    scored AS (SELECT query_id, candidate_id, 0.6 * len(list_intersect(string_split(t, ' '), string_split(ct, ' '))) / len(list_distinct(string_split(t, ' ') || string_split(ct, ' ')))
+@query(f"""WITH q AS (SELECT p_partkey, lower(p_name) AS title, lower(p_type) AS artist, CAST(p_retailprice * 1000 AS BIGINT) AS d FROM part),
+    pairs AS (SELECT a.p_partkey AS query_id, b.p_partkey AS candidate_id, k AS pos, a.title AS t, b.title AS ct, a.artist AS r, b.artist AS cr, a.d, b.d AS cd
+        FROM q a, range(1, {SCORED + 1}) r(k), q b WHERE b.p_partkey = a.p_partkey + k * 7 AND b.p_partkey % 13 <> 0),
+    scored AS (SELECT query_id, candidate_id, pos, 0.6 * len(list_intersect(string_split(t, ' '), string_split(ct, ' '))) / len(list_distinct(string_split(t, ' ') || string_split(ct, ' ')))
         + 0.4 * len(list_intersect(string_split(r, ' '), string_split(cr, ' '))) / len(list_distinct(string_split(r, ' ') || string_split(cr, ' ')))
         + CASE WHEN abs(d - cd) <= 5000 THEN 0.15 ELSE 0 END AS score FROM pairs)
-    SELECT query_id, candidate_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, candidate_id) AS turn FROM scored) WHERE turn = 1 AND round(score, 9) >= 0.5""")
+    SELECT query_id, candidate_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS turn FROM scored) WHERE turn = 1 AND round(score, 9) >= 0.5""")
 def score_candidates(spark, sf):
-    """Parts of the same size stand in for search results."""
-    q = load(spark, sf, "part").select("p_partkey", "p_size", F.lower("p_name").alias("title"), F.lower("p_type").alias("artist"), (F.col("p_retailprice") * 1000).cast("long").alias("duration_ms"))
-    other = q.select("p_size", F.col("p_partkey").alias("candidate_id"), F.col("title").alias("c_title"), F.col("artist").alias("c_artist"), F.col("duration_ms").alias("c_duration_ms"), F.when(F.col("p_partkey") % 13 != 0, "u").alias("c_url"))
-    pairs = q.withColumnRenamed("p_partkey", "query_id").join(other, "p_size").filter("query_id <> candidate_id").withColumn("pos", F.col("candidate_id"))
-    return C.score_candidates(pairs)
+    """Each part's search results are ten parts of later keys."""
+    part = load(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("title"), F.lower("p_type").alias("artist"), (F.col("p_retailprice") * 1000).cast("long").alias("duration_ms"))
+    q = C.with_words(part)
+    other = q.select(F.col("p_partkey").alias("candidate_id"), *[F.col(x).alias(f"c_{x}") for x in ("title_words", "artist_words", "duration_ms")], F.when(F.col("p_partkey") % 13 != 0, "u").alias("c_url"))
+    found = q.withColumnRenamed("p_partkey", "query_id").withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(SCORED)))).withColumn("candidate_id", F.col("query_id") + F.col("pos") * 7)
+    return C.score_candidates(found.join(other, "candidate_id"))
 
 
 @query("""SELECT o_orderkey AS track_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')

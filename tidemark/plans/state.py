@@ -18,7 +18,7 @@ from tidemark.sources.tables import load, plays_from_events
 
 _RAW = """WITH raw AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'never' WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS ts,
     CASE WHEN event_id % 13 <> 0 THEN CAST(floor(value * 1000) AS BIGINT) END AS ms, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 10 = 0 THEN '' ELSE event_type END AS track,
-    CASE WHEN event_id % 19 <> 0 THEN CAST(user_id AS VARCHAR) END AS artist, CASE event_id % 3 WHEN 0 THEN 'spotify:track:t' || event_id WHEN 1 THEN 'spotify:episode:e' || event_id END AS uri, epoch_us(date_trunc('second', ts)) AS us FROM events)
+    CASE WHEN event_id % 19 <> 0 THEN CAST(user_id AS VARCHAR) END AS artist, CASE event_id % 3 WHEN 0 THEN 'svc:track:t' || event_id WHEN 1 THEN 'svc:episode:e' || event_id END AS uri, epoch_us(date_trunc('second', ts)) AS us FROM events)
 """
 
 
@@ -29,13 +29,13 @@ def raw_history(spark, sf):
     return e.select(
         F.when(id_ % 17 == 0, "never").when(id_ % 2 == 0, F.concat(iso, F.lit("Z"))).otherwise(iso).alias("ts"), F.when(id_ % 13 != 0, F.floor(F.col("value") * 1000)).alias("ms_played"),
         F.when(id_ % 11 == 0, F.lit(None)).when(id_ % 10 == 0, "").otherwise(F.col("event_type")).alias(history.TRACK), F.when(id_ % 19 != 0, F.col("user_id").cast("string")).alias(history.ARTIST), F.lit(None).cast("string").alias(history.ALBUM),
-        F.when(id_ % 3 == 0, F.concat(F.lit("spotify:track:t"), id_)).when(id_ % 3 == 1, F.concat(F.lit("spotify:episode:e"), id_)).alias(history.URI),
+        F.when(id_ % 3 == 0, F.concat(F.lit("svc:track:t"), id_)).when(id_ % 3 == 1, F.concat(F.lit("svc:episode:e"), id_)).alias(history.URI),
         *[F.lit(None).cast("string").alias(c) for c in ("platform", "conn_country", "reason_start", "reason_end", "_corrupt_record")], *[F.lit(None).cast("boolean").alias(c) for c in ("shuffle", "skipped", "offline", "incognito_mode")],
         F.concat(F.lit("part"), id_ % 4).alias("source_file"),
     )
 
 
-@query(_RAW + """SELECT us, coalesce(ms, 0) AS ms_played, track, artist, CASE WHEN uri LIKE 'spotify:track:%' THEN substr(uri, 15) END AS external_id, 'part' || (event_id % 4) AS source_file, coalesce(ms, 0) < 30000 AS short_play
+@query(_RAW + """SELECT us, coalesce(ms, 0) AS ms_played, track, artist, CASE WHEN uri LIKE 'svc:track:%' THEN substr(uri, 11) END AS external_id, 'part' || (event_id % 4) AS source_file, coalesce(ms, 0) < 30000 AS short_play
     FROM raw WHERE track <> '' AND artist IS NOT NULL AND ts <> 'never'""")
 def parsed_history(spark, sf):
     return history.parse(raw_history(spark, sf)).select(F.unix_micros("ts").alias("us"), "ms_played", "track", "artist", "external_id", "source_file", "short_play")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-#: A row of an exported listening history; what identifies a device or place of the listener is not read.
+#: A row of an exported listening history but for the URI; what identifies a device or place of the listener is not read.
 HISTORY = (
     "ts string, platform string, ms_played long, conn_country string, master_metadata_track_name string,"
-    " master_metadata_album_artist_name string, master_metadata_album_album_name string, spotify_track_uri string,"
+    " master_metadata_album_artist_name string, master_metadata_album_album_name string,"
     " reason_start string, reason_end string, shuffle boolean, skipped boolean, offline boolean, incognito_mode boolean,"
     " _corrupt_record string"
 )

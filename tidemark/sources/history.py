@@ -10,20 +10,27 @@ from tidemark.schema import HISTORY
 
 # How an export names its files and fields.
 FILES = "Streaming_History_Audio_*.json"
-TRACK, ARTIST, ALBUM, URI = "master_metadata_track_name", "master_metadata_album_artist_name", "master_metadata_album_album_name", "spotify_track_uri"
+TRACK, ARTIST, ALBUM = "master_metadata_track_name", "master_metadata_album_artist_name", "master_metadata_album_album_name"
+#: What the track's URI is called here; an export has a name of its own for it.
+URI = "track_uri"
 
 
-def read_history(spark: SparkSession, folder: str, year: int | None = None, any_json: bool = False) -> DataFrame:
+def read_history(spark: SparkSession, folder: str, year: int | None = None, any_json: bool | None = None, uri_field: str = URI) -> DataFrame:
     """Raw rows of all files below ``folder`` with source_file; a file that is no JSON is one row with _corrupt_record.
 
-    ``year`` keeps to files whose name has it; ``any_json`` reads every JSON file, as one does if none has the usual name.
+    ``uri_field`` is the export's name of the field that has the track's URI. ``year`` keeps to files whose name has it.
+    ``any_json`` reads every JSON file; left open, that is done if no file has the usual name.
     """
-    pattern = "*.json" if any_json else FILES
-    if year is not None:
-        pattern = f"*_{year}*.json" if any_json else f"Streaming_History_Audio_*{year}*.json"
-    reader = spark.read.schema(HISTORY).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-    rows = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder)
-    return rows.withColumn("source_file", F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0))
+    reader = spark.read.schema(f"{HISTORY}, `{uri_field}` string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+
+    def matching(pattern: str) -> DataFrame:
+        return reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder)
+
+    usual = FILES if year is None else FILES.replace("*.", f"*{year}*.")
+    rows = matching(usual)
+    if any_json or (any_json is None and not rows.inputFiles()):
+        rows = matching("*.json" if year is None else f"*_{year}*.json")
+    return rows.withColumnRenamed(uri_field, URI).withColumn("source_file", F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0))
 
 
 def parse_time(c: Column) -> Column:

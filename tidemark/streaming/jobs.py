@@ -6,12 +6,15 @@ Work is at least once: a batch is written under its number and by key, so that a
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.schema import JOB, RESULT
+from tidemark.sources.sinks import insert_table, upsert_table, write_index
+from tidemark.storage import exists, remove, shared_dir
 
 
 def json_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -23,9 +26,9 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
     return json_stream(spark, folder, JOB)
 
 
-def results(spark: SparkSession, folder: str) -> DataFrame:
-    """Results that can be used: done, and of a known track."""
-    return json_stream(spark, folder, RESULT).filter("status = 'done' and track_id is not null")
+def results(spark: SparkSession, folder: str, statuses: tuple[str, ...] = ("done",)) -> DataFrame:
+    """Results that can be used: of one of ``statuses``, and of a known track."""
+    return json_stream(spark, folder, RESULT).filter(F.col("status").isin(*statuses) & F.col("track_id").isNotNull())
 
 
 def run_batches(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
@@ -74,15 +77,18 @@ def stream_sessions(plays: DataFrame, by: str, gap: str = "30 minutes", delay: s
     return out.drop("session_window")
 
 
-def drop_repeats(plays: DataFrame, by: str, value: str) -> DataFrame:
-    """A stream without the rows whose value is that of the row before of the same ``by``, as a poller sees them."""
+def drop_repeats(plays: DataFrame, by: str, value: str, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """A stream without the rows whose value is that of the row before of the same ``by``, as a poller sees them.
+
+    ``order`` names the columns by which the rows of a micro-batch are put in order, ties included.
+    """
     import pandas as pd
 
     fields = plays.schema
 
     def step(key, batches, state):
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("ts")
+        rows = pd.concat(list(batches)).sort_values(list(order))
         before = rows[value].shift()
         before.iloc[0] = last
         state.update((None if pd.isna(rows[value].iloc[-1]) else str(rows[value].iloc[-1]),))
@@ -91,7 +97,49 @@ def drop_repeats(plays: DataFrame, by: str, value: str) -> DataFrame:
     return plays.groupBy(by).applyInPandasWithState(step, fields, "last string", "append", "NoTimeout")
 
 
-def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream has now, run to its end, as a table in memory; for small results and tests."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def run_inserts(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+    """Add each micro-batch's rows to a table unless it has their keys: exact whatever the stream's state has forgotten."""
+    return stream.writeStream.foreachBatch(lambda batch, _: insert_table(batch, path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_upserts(stream: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+    """``step`` of each micro-batch replaces what a table has of its keys, as embeddings follow finished jobs; a repeated batch changes nothing."""
+    return stream.writeStream.foreachBatch(lambda batch, _: upsert_table(step(batch), path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rebuild_index(spark: SparkSession, vectors: str, out: str, n_cells: int) -> None:
+    """Write the index of a vector table anew."""
+    write_index(spark.read.parquet(vectors), out, n_cells)
+
+
+def rebuild_periodically(spark: SparkSession, vectors: str, out: str, n_cells: int, every: str = "600 seconds") -> StreamingQuery:
+    """Rebuild the index at each tick for as long as the query runs."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, n: rebuild_index(spark, vectors, out, n_cells)).trigger(processingTime=every).start()
+
+
+def write_messages(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery | None:
+    """Rows of a batch or a stream as JSON messages, one to a line, for the next reader."""
+    messages = to_messages(rows)
+    if not rows.isStreaming:
+        messages.write.mode("append").text(folder)
+        return None
+    return messages.writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drain(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
+    """All that a stream gives now, run to its end, as a Parquet table in the shared folder.
+
+    ``append`` adds each micro-batch under its number, ``complete`` replaces the table; nothing comes to the driver.
+    """
+    folder = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{'all' if mode == 'complete' else number}")
+
+    done = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    remove(spark, f"{folder}-state")
+    if not exists(spark, folder):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(folder)
