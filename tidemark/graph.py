@@ -9,7 +9,7 @@ from tidemark.storage import cut
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v, of one type that has an order): root is the smallest node reachable.
+    """(node, root) for every node of ``edges`` (u, v, of one type that has an order) but the roots: the smallest node reachable.
 
     Large-star and small-star steps alternate until nothing changes, however many that takes; their number grows
     with the logarithm of the longest chain. Each is a minimum per node (combined before the shuffle) joined back to
