@@ -20,9 +20,9 @@ def plain(rows, min_chars=40, min_docs=5):
     for i, (_, text) in enumerate(rows):
         for k in {key(x) for x in (text or "").split("\n")}:
             if len(k) >= min_chars:
-                holders.setdefault(k, []).append(i)
+                holders.setdefault(k, set()).add(rows[i][0])
     rank = lambda d: (d is not None, d or 0)
-    last = {k: max((rows[i][0] for i in v), key=rank) for k, v in holders.items() if len(v) >= min_docs}
+    last = {k: max(v, key=rank) for k, v in holders.items() if len(v) >= min_docs}
     out = []
     for d, text in rows:
         lines = (text or "").split("\n")
@@ -65,6 +65,33 @@ def test_insert_and_delete_leave_what_a_new_index_has(spark):
     assert marks(index) == marks(fresh)
 
 
+def test_repeated_rows_are_one_document(spark):
+    line = "a line that is long enough to count as one of them"
+    rows = [(1, line)] * 4 + [(2, line)]
+    assert collect(L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows) == sorted([(d, t, 1, 0) for d, t in rows], key=str)
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(k, "Y" * 40, k, "d", [b"x"], True, "o") for k in range(6)]
+    names = "doc_id long, text string, _doc int, _drop string, drop array<binary>, key boolean, own_id string"
+    out = L.dedup_lines(spark.createDataFrame(rows, names))
+    assert out.columns == ["doc_id", "text", "_doc", "_drop", "drop", "key", "own_id", "n_lines", "n_dropped"]
+    assert sorted(tuple(r) for r in out.collect()) == sorted((*r[:1], r[1] if r[0] == 5 else "", *r[2:], 1, 0 if r[0] == 5 else 1) for r in rows)
+
+
+def test_changes_write_no_more_than_they_touch(spark, monkeypatch):
+    rows = [(k, "\n".join(f"line {k % 7} {j} that is long enough to be a key of its own" for j in range(3))) for k in range(70)]
+    make = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    index = L.LineIndex.build(make(rows))
+    written = []
+    monkeypatch.setattr(L, "cut", lambda df, real=L.cut: written.append(real(df)) or written[-1])
+    after = index.insert(make([(100, rows[0][1]), (101, "a new line that nobody else has said before now")])).delete(make([(101, "")]).select("doc_id"))
+    sizes = {tuple(df.columns): max(x.count() for x in written if x.columns == df.columns) for df in written}
+    assert sizes["key", "doc_id"] <= 4 and sizes["key", "n_docs", "max_doc"] <= 21
+    assert after.references.count() == index.references.count() + 3 == after.compact().references.count()
+    assert collect(after.apply(make(rows))) == [x for x in plain([*rows, (100, rows[0][1])]) if x[0] != 100]
+
+
 def test_filter_finds_all_keys_and_forgets_deleted_ones():
     import numpy as np
 

@@ -61,6 +61,32 @@ def test_ball_search_finds_what_all_pairs_find(monkeypatch):
     assert found == want
 
 
+def test_long_lists_of_few_shared_bytes_are_tallied(monkeypatch):
+    monkeypatch.setattr(S, "DENSE", 8)
+    rng = np.random.default_rng(2)
+    x = np.unique(rng.integers(0, 1 << 62, 600))
+    x = np.unique(np.concatenate([x, x ^ (1 << rng.integers(0, 60, len(x)))]))
+    assert S._all_share(x.view(np.uint64)) is None
+    want = {(int(a), int(b)) for i, a in enumerate(x) for b in x[i + 1 :][np.bitwise_count(x[i + 1 :] ^ a) <= 3]}
+    assert set(map(tuple, map(sorted, S._near_pairs(x)))) == want
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(k, "a b c d e", k, 1, 2, 3) for k in (5, 3, 4)], "doc_id long, text string, _stays long, stays int, fp int, component_id int")
+    out = S.keep_first(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(3, "a b c d e", 3, 1, 2, 3)]
+
+
+def test_chains_of_thousands_of_links(spark):
+    from tidemark.graph import components
+
+    n = 3000
+    order = np.random.default_rng(4).permutation(n).tolist()
+    df = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long")
+    got = {r.node: r.root for r in components(df).collect()}
+    assert got == dict.fromkeys(range(1, n), 0)
+
+
 def test_query_on_real_documents(spark):
     from tidemark.llm.queries import QUERIES
 

@@ -1,47 +1,22 @@
-"""What several corpus operators share: shared storage, Arrow plumbing, graph components."""
+"""What several corpus operators share: white space, Arrow plumbing, spanning forests, free column names."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import cut, shared_dir  # noqa: F401  the operators take them from here
+
 #: The white space that separates words, as a regular-expression class body and as bytes.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_BYTES = b" \t\n\v\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.
-
-    It is ``spark.checkpoint.dir`` where the cluster names one. Where none is set, a local session
-    uses a temporary folder and any other the warehouse, which is shared.
-    """
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir", None)
-    if told:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(told)
-        return told
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    own = tempfile.mkdtemp(prefix="checkpoint-") if sc.master.startswith("local") and "cluster" not in sc.master else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    sc.setCheckpointDir(own)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint, so that a lost executor does not cost the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished stages that nothing refers to, before the next ones are written."""
     gc.collect()
@@ -99,22 +74,9 @@ def forest(pairs: Iterator[tuple[int, int]] | list[tuple[int, int]]) -> list[tup
     return [(x, root(x)) for x in up if root(x) != x]
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u long, v long): root is the smallest node reachable.
-
-    Large-star and small-star steps alternate until nothing changes. Each is a minimum per node (combined
-    before the shuffle) joined back to the links, so that a star with very many leaves is never one row.
-    """
-
-    links, before = cut(edges.selectExpr("greatest(u, v) u", "least(u, v) v").filter("u <> v").distinct()), None
-    for _ in range(rounds):
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
-        both = links.union(links.selectExpr("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
-        large = both.filter("v > u").join(low, "u").selectExpr("v u", "m v").filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        links = cut(large.join(low, "u").selectExpr("stack(2, v, m, u, m) as (u, v)").filter("u <> v").distinct())
-    return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -9,7 +9,8 @@ number of documents and the largest doc_id of each key, ``filters`` a cuckoo fil
 each shard of the key space. The filters answer for nearly all lines without a look-up; what they let
 through is checked against the exact counts, so that a false positive drops nothing. Inserting documents adds
 references and the fingerprints of keys that become active, deleting documents takes both away again, which
-leaves what an index built without them has: no decision is ever final.
+leaves what an index built without them has: no decision is ever final. Both write the references, counts and
+shards that they change, not the index.
 
 Keys are held as 128-bit digests.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_BYTES, cut
+from tidemark.llm.common import SPACE_BYTES, cut, unused
 
 SLOTS, KICKS = 4, 500
 #: Active keys of a shard when the index is built, and the size up to which filters go to every task.
@@ -145,7 +146,9 @@ def line_references(docs: DataFrame, min_chars: int = 40) -> DataFrame:
 
 
 def _counted(references: DataFrame) -> DataFrame:
-    return references.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+    """Documents of each key: rows of one doc_id are one document, those without any are one too."""
+    n = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("long"))
+    return references.groupBy("key").agg(n.alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
 
 def _build_filters(active: DataFrame, shards: int) -> DataFrame:
@@ -174,6 +177,12 @@ def _update_filters(filters: DataFrame, changes: DataFrame, shards: int) -> Data
 
 @dataclass
 class LineIndex:
+    """The three tables. ``insert`` and ``delete`` write what they change and no more; ``compact`` writes all anew.
+
+    Between compactions ``references`` and ``counts`` are what was written first less or plus the changes, which are
+    joined when they are read.
+    """
+
     references: DataFrame
     counts: DataFrame
     active: DataFrame
@@ -183,36 +192,53 @@ class LineIndex:
     min_docs: int = 5
 
     @classmethod
-    def build(cls, docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> LineIndex:
-        """Index of ``docs`` (doc_id, text). Only the active keys and their filters are written; the rest stays lazy."""
+    def build(cls, docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: bool = True) -> LineIndex:
+        """Index of ``docs`` (doc_id, text). Without ``keep`` only the active keys and their filters are written, for one use."""
         references = line_references(docs, min_chars)
-        counts = _counted(references)
-        active = cut(counts.filter(F.col("n_docs") >= min_docs))
+        references = cut(references.distinct()) if keep else references
+        counts = cut(_counted(references)) if keep else _counted(references)
+        return cls._of(references, counts, cut(counts.filter(F.col("n_docs") >= min_docs)), min_chars, min_docs)
+
+    @classmethod
+    def _of(cls, references: DataFrame, counts: DataFrame, active: DataFrame, min_chars: int, min_docs: int) -> LineIndex:
         shards = max(16, 1 << (active.count() // SHARD_KEYS).bit_length())
         return cls(references, counts, active, cut(_build_filters(active, shards)), shards, min_chars, min_docs)
 
-    def _changed(self, references: DataFrame, counts: DataFrame) -> LineIndex:
-        references, counts = cut(references), cut(counts)
-        active = cut(counts.filter(F.col("n_docs") >= self.min_docs))
-        on = active.join(self.active, "key", "left_anti").select("key", F.lit(True).alias("on"))
-        off = self.active.join(active, "key", "left_anti").select("key", F.lit(False).alias("on"))
-        filters = cut(_update_filters(self.filters, off.union(on), self.shards))
-        return LineIndex(references, counts, active, filters, self.shards, self.min_chars, self.min_docs)
+    def compact(self) -> LineIndex:
+        """The same index written anew, with as many shards as its active keys need now."""
+        return self._of(cut(self.references), cut(self.counts), self.active, self.min_chars, self.min_docs)
+
+    def _changed(self, references: DataFrame, touched: DataFrame, fresh: DataFrame) -> LineIndex:
+        """touched: (key) whose counts may differ; fresh: their counts now, without keys that no document has."""
+        fresh = cut(fresh)
+        counts = self.counts.join(touched, "key", "left_anti").unionByName(fresh)
+        now = fresh.filter(F.col("n_docs") >= self.min_docs)
+        on = now.join(self.active, "key", "left_anti").select("key", F.lit(True).alias("on"))
+        off = self.active.join(touched, "key", "left_semi").join(now, "key", "left_anti").select("key", F.lit(False).alias("on"))
+        changes = cut(off.union(on))
+        # Only shards with a change are read and written; the others stay the files that they are.
+        shards = changes.select(_shard("key", self.shards).alias("shard")).distinct()
+        updated = cut(_update_filters(self.filters.join(shards, "shard", "left_semi"), changes, self.shards))
+        filters = self.filters.join(shards, "shard", "left_anti").unionByName(updated)
+        active = cut(self.active.join(touched, "key", "left_anti").unionByName(now))
+        out = LineIndex(references, counts, active, filters, self.shards, self.min_chars, self.min_docs)
+        return out.compact() if active.count() > 4 * SHARD_KEYS * self.shards else out
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with these documents too; their doc_ids must be new."""
-        new = cut(line_references(docs, self.min_chars))
-        counts = self.counts.unionByName(_counted(new)).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
-        return self._changed(self.references.unionByName(new), counts)
+        new = cut(line_references(docs, self.min_chars).distinct())
+        touched = new.select("key").distinct()
+        both = self.counts.join(touched, "key", "left_semi").unionByName(_counted(new))
+        fresh = both.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        return self._changed(self.references.unionByName(new), touched, fresh)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """The index without the documents of ``doc_ids`` (doc_id); only keys that they held are counted again."""
-        gone = doc_ids.select(F.col("doc_id").cast("long").alias("_gone")).distinct()
+        gone = cut(doc_ids.select(F.col("doc_id").cast("long").alias("_gone")).distinct())
         same = F.col("doc_id").eqNullSafe(F.col("_gone"))
-        touched = self.references.join(gone, same, "left_semi").select("key").distinct()
+        touched = cut(self.references.join(gone, same, "left_semi").select("key").distinct())
         left = self.references.join(gone, same, "left_anti")
-        again = _counted(left.join(touched, "key", "left_semi"))
-        return self._changed(left, self.counts.join(touched, "key", "left_anti").unionByName(again))
+        return self._changed(left, touched, _counted(left.join(touched, "key", "left_semi")))
 
     def _passed(self, docs: DataFrame, broadcast_bytes: int) -> DataFrame:
         """(key, doc_id) of the lines that the filters let through."""
@@ -250,9 +276,10 @@ class LineIndex:
     def apply(self, docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """``docs`` with ``text`` cut down, and ``n_lines`` and ``n_dropped`` (long), which replace columns so named."""
         drops = self._passed(docs, broadcast_bytes).join(self.active, "key").filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
-        drops = drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_drop"))
-        kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_drop")]
-        with_drops = docs.select(*kept).join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").select(*kept, "_drop")
+        kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+        own, drop = unused("own_id", kept), unused("drop", kept)
+        drops = drops.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("key").alias(drop))
+        with_drops = docs.select(*kept).join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left").select(*kept, drop)
         schema, min_chars, at = docs.select(*kept).schema, self.min_chars, kept.index("text")
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,8 +305,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadca
     Returns all columns and rows of ``docs`` with ``text`` cut down, n_lines (before) and n_dropped.
 
     * A null text counts as one empty line and stays null; an empty text is one empty line. Nothing is dropped.
-    * Every row counts as a document; rows that share the largest doc_id of a key all keep its lines.
-    * A null doc_id ranks below all others: its rows keep a line only if every row that holds it has none.
+    * Rows with one doc_id count as one document, those with a null one too; rows that share the largest doc_id of a key
+      all keep its lines. A null doc_id ranks below all others: its rows keep a line only if every row that holds it has none.
+    * Very long texts are split whole; one must fit in a task's memory a few times. Lines of any length have a key of 16 bytes.
     * Columns named n_lines or n_dropped are replaced, all others stay as they are. An empty table stays empty.
     """
-    return LineIndex.build(docs, min_chars, min_docs).apply(docs, broadcast_bytes)
+    return LineIndex.build(docs, min_chars, min_docs, keep=False).apply(docs, broadcast_bytes)

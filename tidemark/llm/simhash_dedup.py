@@ -5,9 +5,9 @@ least 5 bytes in place. Postings are kept for groups of byte positions: of 5 sha
 word holds 3, so every such pair meets in one of the 8 lists (3 positions of a half, their values). In a list
 the shared positional bytes of a pair are tallied, pairs with fewer than 5 go, and the rest are verified bit
 by bit. A list longer than ``split_at`` is split by two more of the five other positions (10 lists, still at
-least one for each pair); such a list has 24 free bits, which bounds it, and is searched by enumerating the
-ball of radius 3 around each member, in time that grows with its length. Lists give the links of a spanning
-forest, never all pairs. Only distinct fingerprints take part, so exact copies cost one row each.
+least one for each pair). There every pair has its 5 shared bytes, so that the tally keeps them all and only the
+verification is left; 24 bits are free, so a long one is verified by looking up what up to 3 flipped bits make of
+each member, in time that grows with its length. Lists give the links of a spanning forest, never all pairs. Only distinct fingerprints take part, so exact copies cost one row each.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, forest, map_rows
+from tidemark.graph import components
+from tidemark.llm.common import cut, forest, map_rows, unused
 
 RADIUS, MIN_SHARED = 3, 5
+#: Members from which on a list whose pairs all have the minimum of shared bytes is verified by look-ups.
+DENSE = 4096
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 _KEYS = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
 
@@ -84,27 +87,41 @@ def _near(a: int, b: int) -> bool:
 
 
 def _near_pairs(members: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Linked pairs of a list, in blocks; for a long list whose members differ in 24 bits at most, by balls."""
+    """Linked pairs of a list: shared positional bytes are tallied in blocks, and the pairs with enough are verified."""
     fps = np.unique(members)
     if len(fps) <= 8:
         yield from ((a, b) for a, b in combinations(fps.tolist(), 2) if _near(a, b))
         return
     bits = fps.view(np.uint64)
-    free = [k for k in range(64) if np.any((bits ^ bits[0]) >> np.uint64(k) & np.uint64(1))]
-    if len(fps) <= 4096 or len(free) > 24:
-        for at in range(0, len(fps), 256):
-            x = bits[at : at + 256, None] ^ bits[None, at:]
-            shared = (x[..., None].view(np.uint8) == 0).sum(axis=-1)
-            i, j = np.nonzero((shared >= MIN_SHARED) & (np.bitwise_count(x) <= RADIUS))
-            keep = j > i
-            yield from zip(fps[at + i[keep]].tolist(), fps[at + j[keep]].tolist(), strict=True)
+    if len(fps) > DENSE and (positions := _all_share(bits)) is not None:
+        yield from _verified_by_flips(bits, positions)
         return
+    for at in range(0, len(fps), 256):
+        x = bits[at : at + 256, None] ^ bits[None, at:]
+        shared = (x[..., None].view(np.uint8) == 0).sum(axis=-1)
+        i, j = np.nonzero((shared >= MIN_SHARED) & (np.bitwise_count(x) <= RADIUS))
+        keep = j > i
+        yield from zip(fps[at + i[keep]].tolist(), fps[at + j[keep]].tolist(), strict=True)
+
+
+def _all_share(bits: np.ndarray) -> list[int] | None:
+    """The bits in which a list's members differ, if the tally of every pair reaches the minimum: all share ``MIN_SHARED`` bytes."""
+    differ = np.bitwise_or.reduce(bits ^ bits[0])
+    same = int((np.array([differ], np.uint64).view(np.uint8) == 0).sum())
+    return [k for k in range(64) if int(differ) >> k & 1] if same >= MIN_SHARED else None
+
+
+def _verified_by_flips(bits: np.ndarray, positions: list[int]) -> Iterator[tuple[int, int]]:
+    """Verification of a list in which no pair can be ruled out by its tally: members with up to ``RADIUS`` bits flipped are looked up.
+
+    The positions are 24 at most, so that the work grows with the list and not with its square.
+    """
     order = np.sort(bits)
     for n in range(1, RADIUS + 1):
-        for flips in combinations(free, n):
+        for flips in combinations(positions, n):
             other = bits ^ np.uint64(sum(1 << k for k in flips))
             found = order[np.minimum(np.searchsorted(order, other), len(order) - 1)] == other
-            yield from zip(fps[found].tolist(), other[found].view(np.int64).tolist(), strict=True)
+            yield from zip(bits[found].view(np.int64).tolist(), other[found].view(np.int64).tolist(), strict=True)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +184,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42,
     Returns doc_id, fp (signed long) and component_id, the smallest doc_id that a chain of links reaches.
 
     * Null, empty and blank texts have fingerprint 0, which is linked like any other.
+    * Very long texts are hashed whole; one must fit in a task's memory a few times, as its shingles' hashes do.
+    * Ties do not arise: a bit set in just half of the hashes is 0, and the smallest doc_id of a class is one.
     * Rows with the same doc_id are rows of their own; they get the same class if their texts do.
     * A null doc_id is never the smallest; a class that has no other gets a null component_id.
     * An empty table gives an empty result.
@@ -176,13 +195,18 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42,
     roots = components(links(nodes.select("fp"), split_at))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = cut(rooted)
-    smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written first: both sides of the joins below are then plain exchanges, whose hot partitions Spark splits.
+    smallest = cut(classes.groupBy("root").agg(F.min("first_id").alias("component_id")))
     by_fp = cut(classes.join(smallest, "root").select("fp", "component_id"))
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without near copies: of each class the document with the smallest doc_id stays."""
+    """``docs`` without near copies: of each class the rows with the smallest doc_id stay.
+
+    All columns stay as they are, whatever they are called. Rows that share the smallest doc_id all stay.
+    """
     classes = near_duplicates(docs, **options)
-    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stay.withColumnRenamed("doc_id", "_stays"), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    own = unused("stays", docs.columns)
+    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
