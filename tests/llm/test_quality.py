@@ -31,44 +31,108 @@ def test_counts_equal_plain_version():
     assert Q.text_stats("w " * 30000)[4] == 30000
 
 
-def mcd(x, steps):
-    """The same estimate from rows in memory."""
-    spread, center = [], []
-    for k in range(5):
-        v = np.sort(np.floor(x[:, k] * 50)) / 50
-        low, mid, high = (v[int(np.ceil(q * len(v))) - 1] for q in (0.25, 0.5, 0.75))
-        center.append(mid)
-        spread.append(max((high - low) / 1.349, Q.FLOORS[k]))
-    center, precision = np.array(center), np.diag(1 / np.square(spread))
-    dist = lambda: np.einsum("ni,ij,nj->n", x - center, precision, x - center)
-    for _ in range(steps):
-        bins = np.floor(8 * np.log2(dist() + 1e-3))
-        last = np.sort(bins)[int(np.ceil(Q.BULK * len(x))) - 1]
-        near = x[bins <= last]
-        center = near.mean(axis=0)
-        precision = np.linalg.inv(Q.CONSISTENCY * np.cov(near.T, bias=True) + np.diag(np.square(Q.FLOORS)))
-    return dist()
-
-
-def test_query_equals_estimate_in_memory(spark):
+def log_det(x, near):
+    return np.linalg.slogdet(Q.CONSISTENCY * np.cov(x[near].T, bias=True) + np.diag(np.square(Q.FLOORS)))[1]
+
+
+def fast_mcd(x, seed, starts=60):
+    """Least log determinant over concentration steps from many random subsets, with all rows in memory."""
+    rng, h, least = np.random.default_rng(seed), int(np.ceil(Q.BULK * len(x))), np.inf
+    for _ in range(starts):
+        near = rng.choice(len(x), min(6, len(x)), replace=False)
+        before = np.inf
+        while True:
+            center = x[near].mean(axis=0)
+            inverse = np.linalg.inv(Q.CONSISTENCY * np.cov(x[near].T, bias=True) + np.diag(np.square(Q.FLOORS)))
+            d = np.einsum("ni,ij,nj->n", x - center, inverse, x - center)
+            near = np.argsort(d, kind="stable")[:h]
+            now = log_det(x, near)
+            if now > before - 1e-9:
+                break
+            before = now
+        least = min(least, before)
+    return least
+
+
+def vectors(rows):
+    w, c, s, d, p = (np.array([getattr(r, k) for r in rows], float) for k in Q.STATS)
+    return np.stack([np.log1p(w), np.log((c + 1) / (w + 1)), np.log1p(100 * s / (c + 1)), np.log1p(100 * d / (w + 1)), np.log1p(100 * p / (w + 1))], axis=1)
+
+
+def test_determinants_are_those_of_many_random_starts(spark):
+    rng = np.random.default_rng(3)
+    groups = {}
+    for g, n in enumerate((2, 9, 40, 300, 800)):
+        a = rng.normal(size=(5, 5))
+        x = rng.normal(size=(n, 5)) @ a + 3
+        x[: n // 5] += (-1) ** g * 15 + rng.normal(size=(n // 5, 5))  # a fifth lies elsewhere
+        groups[g] = x
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [r for r in Q.rate(docs).collect() if not r.base_failed]
+    groups[5] = vectors(rows)
+    df = spark.createDataFrame([(g, x.tolist()) for g, xs in groups.items() for x in xs], "g long, x array<double>").repartition(4)
+    got = {r.g: r for r in Q.fit(df).collect()}
+    for g, x in groups.items():
+        assert got[g].n == len(x) and got[g].logdet <= fast_mcd(x, g) + 0.02, g
+        cov = np.array(got[g].cov).reshape(5, 5)
+        assert np.linalg.slogdet(Q.CONSISTENCY * cov + np.diag(np.square(Q.FLOORS)))[1] == pytest.approx(got[g].logdet)
+
+
+def test_query_follows_its_estimates(spark, monkeypatch):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    rows = Q.rate(spark.read.parquet(f"{SF}/documents.parquet"), least_rows=25).collect()
+    found, real = {}, Q.fit
+    monkeypatch.setattr(Q, "fit", lambda bulk: found.setdefault("fitted", real(bulk)))
+    rows = Q.rate(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     assert sorted(r.doc_id for r in rows) == sorted(docs)
-    groups = {}
     for r in rows:
         s = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
         if r.n_words < 400:
             assert s == plain(docs[r.doc_id].text)
         assert r.base_failed == (s[0] < 10 or 100 * s[4] > 20 * s[0])
-        if not r.base_failed:
-            groups.setdefault((docs[r.doc_id].lang, docs[r.doc_id].source), []).append(r)
-    small = [r for g in groups.values() if len(g) < 25 for r in g]
-    for g in [*(g for g in groups.values() if len(g) >= 25), small]:
-        w, c, s, d, p = (np.array([getattr(r, k) for r in g], float) for k in Q.STATS)
-        x = np.stack([np.log1p(w), np.log((c + 1) / (w + 1)), np.log1p(100 * s / (c + 1)), np.log1p(100 * d / (w + 1)), np.log1p(100 * p / (w + 1))], axis=1)
-        want = mcd(x, Q.STEPS)
-        assert [r.distance for r in g] == pytest.approx(want.tolist(), rel=1e-6, abs=1e-6)
-        assert [r.kept for r in g] == (want <= Q.CUTOFF).tolist()
+    good = [r for r in rows if not r.base_failed]
+    x, keys = vectors(good), [(docs[r.doc_id].lang, docs[r.doc_id].source) for r in good]
+    fitted = {r.g: r for r in found["fitted"].collect()}
+    levels = [keys, [k[0] for k in keys], ["all"] * len(keys)]
+    members = {(n, k): [i for i, own in enumerate(level) if own == k] for n, level in enumerate(levels) for k in set(level)}
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    groups = table.select("lang", "source", Q._group("lang", "source").alias("a"), Q._group("lang").alias("b"), Q._group().alias("c")).distinct().collect()
+    number = {k: g for r in groups for k, g in (((0, (r.lang, r.source)), r.a), ((1, r.lang), r.b), ((2, "all"), r.c))}
+    of = {k: fitted[number[k]] for k in members}
+    for k, own in members.items():
+        # Few rows have many local minima, of which any search with few starts may miss the least.
+        assert of[k].n == len(own) and of[k].logdet <= fast_mcd(x[own], 1, starts=10) + (0.05 if len(own) > 100 else 0.3), k
+    for i, r in enumerate(good):
+        center, scatter = np.array(of[2, "all"].center), np.diag(np.square(Q.WIDE))
+        for k in ((2, "all"), (1, keys[i][0]), (0, keys[i])):
+            e = of[k]
+            w = e.n / (e.n + Q.LEAN)
+            d = np.array(e.center) - center
+            scatter = w * Q.CONSISTENCY * np.array(e.cov).reshape(5, 5) + (1 - w) * scatter + w * (1 - w) * np.outer(d, d)
+            center = center + w * d
+        v = x[i] - center
+        want = v @ np.linalg.inv(scatter + np.diag(np.square(Q.FLOORS))) @ v
+        assert r.distance == pytest.approx(want, rel=1e-6, abs=1e-6) and r.kept == (want <= Q.cutoff())
+
+
+def test_cutoff_is_the_quantile():
+    """Against the tabulated quantiles of chi-square with 5 degrees of freedom."""
+    for tail, x in ((0.5, 4.351), (0.05, 11.070), (0.001, 20.515)):
+        assert Q.cutoff(tail) == pytest.approx(x, abs=1e-3)
+
+
+def test_outliers_of_each_language_and_source(spark):
+    """What is common in one group is an outlier in another; small groups lean on their language."""
+    word = lambda i, k: f"w{i % 50}{k}"
+    rows = []
+    for g, (lang, source, n) in enumerate([("en", "long", 150), ("en", "short", 150), ("de", "a", 40), ("de", "b", 8)]):
+        for i in range(n):
+            size = 2000 + i % 37 if source == "long" else 60 + i % 11
+            rows.append((g * 1000 + i, " ".join(word(i, k) for k in range(size)), lang, source))
+    rows.append((9000, rows[0][1], "en", "short"))
+    rows += [(9001 + j, " ".join(f"#|{k}&" for k in range(70)), lang, source) for j, (lang, source) in enumerate([("en", "short"), ("de", "a"), ("de", "b")])]
+    got = {r.doc_id: r for r in Q.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()}
+    assert not any(got[k].kept for k in (9000, 9001, 9002, 9003)), [got[k] for k in (9000, 9001, 9002, 9003)]
+    assert all(r.kept for k, r in got.items() if k < 9000)
 
 
 def test_good_documents_stay(spark):
@@ -78,7 +142,7 @@ def test_good_documents_stay(spark):
         own = [r for r in rows if labels.get(r.doc_id) == q]
         print("quality", q, len(own), "kept", sum(r.kept for r in own), "base failed", sum(r.base_failed for r in own))
     good = [r for r in rows if labels.get(r.doc_id) == 1 and not r.base_failed]
-    assert all(r.kept for r in good)
+    assert sum(r.kept for r in good) >= 0.995 * len(good)
 
 
 def test_edge_cases(spark):
@@ -88,7 +152,7 @@ def test_edge_cases(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_words int").repartition(3)
     got = {r.doc_id: r for r in Q.rate(df).collect()}
     assert not any(got[k].kept for k in (100, 101, 102, 103)) and got[102].base_failed and not got[103].base_failed
-    assert got[None].kept and got[0].kept and got[None].distance is None
+    assert got[None].kept and got[0].kept and got[101].distance is None
     assert Q.rate(df.limit(0)).count() == 0
 
 
@@ -99,6 +163,5 @@ def test_moderate_symbols_and_repeated_lines_are_outliers(spark):
     rows += [(102, "\n".join(f"w5{k // 2}" for k in range(32)), "en", "s")]
     got = {r.doc_id: r for r in Q.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     for k in (100, 101, 102):
-        assert not got[k].base_failed and not got[k].kept and 36 < got[k].distance, got[k]
-    assert min(got[k].distance for k in (100, 101, 102)) < 60
+        assert not got[k].base_failed and not got[k].kept, got[k]
     assert all(got[k].kept for k in range(80))
