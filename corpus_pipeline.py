@@ -7,13 +7,12 @@ passages, and mixing decides how many words are taken of each that is left.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, lang_id, line_dedup, mixing, simhash_dedup
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import cut
+from tidemark.storage import own_folder, remove
 
 #: No SQL can express the first stage, which is a trained classifier.
 ORACLE_SQL = None
@@ -52,9 +51,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the last stage returns for the documents of ``sf_dir``."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """What the last stage returns for the documents of ``sf_dir``. A stage's folder is deleted when the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    with own_folder(spark, "pipeline") as folder:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                remove(spark, before)
+            before = f"{folder}/{name}"
+        return cut(STAGES[-1][1](spark, docs, sf_dir))

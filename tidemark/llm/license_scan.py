@@ -13,15 +13,15 @@ Base phrases are looked up at their rarest word and compared word by word.
 from __future__ import annotations
 
 import math
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import ascii_lower
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: ``TOP_WORDS`` of None lets all indexed words of a text vote.
-MIN_IDF, TOP_WORDS, MIN_SHARE = 1.0, None, 0.7
+MIN_IDF, MIN_SHARE = 1.0, 0.7
 
 # Words of any English text, which are no licence words however few templates have them.
 COMMON = frozenset("a an and any are as at be by can except for free from has have hereby if in into is it law may met no not of on or other out possible provided subject such than that the their this to under up us use was were will with without work you your".split())
@@ -51,6 +51,12 @@ TEMPLATES = (
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ("gnu affero general public license", "version 3")),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0 which is available at", ("eclipse public license",)),
+    ("eupl", "licensed under the eupl version 1 2", ("licensed under the eupl",)),
+    ("zlib", "provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("any person or organization",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
 )
 
@@ -72,8 +78,8 @@ def _map(values: dict[str, Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Words of the lower-cased text. Characters beyond ASCII are lower-cased too, which changes no place of a word."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATORS), "")
+    """Words of the text with A-Z lower-cased and nothing else."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATORS), "")
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=None) -> DataFrame:
@@ -84,7 +90,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=None) -> DataFrame:
     of a template found, 1 for a base phrase, else 0.
 
     * A null text counts as empty: no words, no labels, score 0. Repeated rows are scanned alike.
-    * Occurrences that overlap all count. Of templates with the same label the best counts.
+    * Occurrences that overlap all count. Of templates with the same label the best counts; ties change nothing, as
+      only the number of votes and no position is returned.
+    * Very long texts are scanned whole; the row holds the words and a vote for each licence word among them.
     * Other columns stay as they are; an empty table stays empty.
     """
     base = BASE if base is None else base
@@ -151,7 +159,3 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=None) -> DataFrame:
         score.alias("score"),
     )
 
-
-def _top_of(text: str, idf: dict[str, float]) -> set[str]:
-    """A template's own indexed words."""
-    return set(sorted({w for w in re.split(r"\s+", text) if w in idf}, key=lambda w: (-idf[w], w))[:TOP_WORDS])

@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from pathlib import Path
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import cut, shared_dir
+from tidemark.llm.common import cut
+from tidemark.storage import own_folder
 
 #: Bytes of a block, and blocks that the lower level of the prefix scan takes together.
 BLOCK_BYTES, GROUP = 4 << 20, 1024
@@ -131,7 +131,8 @@ def stitch(blocks: DataFrame) -> DataFrame:
     above = above.select("path", "group", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("ends_above"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("last_above"))
     within = Window.partitionBy("path", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = grouped.withColumn("ends_before", F.coalesce(F.sum("ends").over(within), F.lit(0))).withColumn("last_before", F.max("last").over(within))
-    placed = placed.join(above, ["path", "group"])
+    # Tables of groups, files and documents grow with the input: they are dealt by key and never sent to every task.
+    placed = placed.join(above.hint("merge"), ["path", "group"])
     ordinal = F.col("ends_before") + F.col("ends_above")
     start = F.coalesce("last_before", "last_above") + 1
     lengths = F.concat(F.array(F.col("first") - start), F.col("inner"))
@@ -154,21 +155,23 @@ def document_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes:
     """(doc_id, n_tokens) for each row of ``docs`` (doc_id, text), counted in the flat files that are made of them.
 
     * Null and empty texts have 0 tokens. The end-of-document id is not counted, and its name in a text is ordinary text.
-    * Repeated rows are counted each; a null doc_id is carried along. Other columns are not looked at.
-    * An empty table gives an empty result. The token files are deleted when the counts are written.
+    * Repeated rows are counted each; a null doc_id is carried along. Other columns are not looked at. There are no ties.
+    * Very long texts are encoded whole by their task, and their ids may span any number of blocks.
+    * An empty table gives an empty result. The token files are deleted when the counts are written, or when that fails.
+    * A document whose count is not found is an error and no null.
     """
     spark = docs.sparkSession
     raw = read_vocabulary(vocabulary)
     separator = 1 + max(int(line.split()[1]) for line in raw.splitlines())
     width = 2 if separator < 1 << 16 else 4
-    folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid4().hex}"
-    written = write_token_files(docs, folder, raw, separator, width)
-    if written.isEmpty():
-        return written.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
-    of_file = F.regexp_extract("path", r"([0-9]+)\.bin$", 1).cast("long")
-    files = list_files(spark, folder).withColumn("file", of_file).join(written.select("file").distinct(), "file", "left_semi").drop("file")
-    counted = count_tokens(files, separator, width, block_bytes).withColumn("file", of_file).drop("path")
-    out = cut(written.join(counted, ["file", "ordinal"], "left").select("doc_id", "n_tokens"))
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    return out
+    with own_folder(spark, "tokens") as folder:
+        written = write_token_files(docs, folder, raw, separator, width)
+        if written.isEmpty():
+            return written.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
+        of_file = F.regexp_extract("path", r"([0-9]+)\.bin$", 1).cast("long")
+        # What a task that was tried again has left behind is not read.
+        files = list_files(spark, folder).withColumn("file", of_file).join(written.select("file").distinct().hint("merge"), "file", "left_semi").drop("file")
+        counted = count_tokens(files, separator, width, block_bytes).withColumn("file", of_file).drop("path")
+        lost = F.raise_error(F.lit("a document that was written has no count")).cast("long")
+        found = written.join(counted.hint("merge"), ["file", "ordinal"], "left")
+        return cut(found.select("doc_id", F.coalesce("n_tokens", lost).alias("n_tokens")))
