@@ -9,7 +9,7 @@ from tidemark.llm.queries import QUERIES
 
 
 def words(t):
-    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
 
 
 def grams(w):
@@ -74,11 +74,49 @@ def test_blocks_find_all_within_the_radius():
         assert any((a >> 8 * n & 255) ^ (b >> 8 * n & 255) in D._FLIPS for n in range(8))
 
 
+def test_fingerprints_follow_their_definition(spark):
+    """Of every window over an anchor, and of no other."""
+    docs, items = make(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    known = D.cut(D._items(bench))
+    anchors = D.cut(D._anchors(known, 0.8))
+    places = D._places(spark.createDataFrame(docs, "doc_id long, text string"), anchors, [1, 3, 5], 50_000)
+    pieces = D._pieces(places, 60)
+    rows = D._windows(pieces, anchors).join(pieces.select("piece", "doc_id"), "piece").collect()
+    hashed = {r.s: r.h for r in spark.createDataFrame([(s,) for s in {" ".join(g) for _, t in docs for k in (1, 3, 5) for g in grams_of(words(t), k)}], "s string").selectExpr("s", "xxhash64(s) h").collect()}
+    of = {r.anchor: set() for r in anchors.collect()}
+    for r in anchors.collect():
+        of[r.anchor].add(r["size"])
+    want = {}
+    for d, t in docs:
+        w = words(t)
+        for k in (1, 3, 5):
+            h = [hashed[" ".join(g)] for g in grams_of(w, k)]
+            for at, x in enumerate(h):
+                for size in of.get(x, ()):
+                    if min(5, size) == k:
+                        for s in range(at - size + k, at + 1):
+                            own = h[max(0, s) : min(len(w), s + size) - k + 1]
+                            want[d, size, s] = sum(1 << b for b in range(64) if 2 * sum(y >> b & 1 for y in own) > len(own))
+    assert {(r.doc_id, r["size"], r.s): r.fp % (1 << 64) for r in rows} == want
+
+
+def grams_of(w, k):
+    return [w[i : i + k] for i in range(len(w) - k + 1)]
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "one two three four five six", 7, 8, "x"), (2, "clean", 7, 8, "x")], "doc_id long, text string, _bad int, bad int, item_id string")
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    out = D.drop_contaminated(df, bench)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(2, "clean", 7, 8, "x")]
+
+
 def test_query_on_real_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    want = plain(docs, items)
+    want = brute_force(docs, items)
     got = QUERIES["op6_decontamination"](spark, sf).collect()
     assert {(r.doc_id, i) for r in got for i in r.item_ids} == set(want)
 

@@ -4,41 +4,49 @@ Built from DataFrame functions only. A document matches an item if a window of a
 (cut off at the document's ends) reaches ``threshold`` in weighted similarity of word shingles: the sum over
 shingles of the smaller count over the sum of the larger.
 
-1. Anchors. A window that similar holds at least ``threshold`` of the item's shingles, so any choice of more
-   than the rest of them must meet it. Each item's anchors are its shingles whose longest word is longest, just
-   as many as that takes. Around every place where a document has an anchor, all item-sized windows that cover
-   it are looked at, wherever the item has the anchor; those go on that hold enough places with a shingle of the
-   item to reach ``threshold``. That count is no less than the shared one, so no match is lost.
-   The gate words (the longest of each anchor) and then the anchors' hashes are looked up in the row itself.
-2. Fingerprints. Each distinct window and each item gets a 64-bit SimHash of its shingles. It is cut into 8
-   blocks. Two fingerprints within ``radius`` = 23 bits agree up to 2 bits in some block; items are listed under
-   all 37 values that near to each of their blocks, so a window's 8 look-ups give every item within the radius.
-3. Verification computes the weighted similarity of the shingles themselves.
+1. Windows. One that similar holds at least ``threshold`` of the item's shingles, so any choice of more than the
+   rest of them must meet it. Each item's anchors are its shingles whose longest word is longest, just as many as
+   that takes. All item-sized windows over a place with an anchor are taken, wherever the item has it; windows
+   without an anchor cannot match, so nothing is lost. Places are kept in pieces of ``PIECE`` words with the words
+   around them.
+2. Fingerprints. Every such window gets a 64-bit SimHash of its shingles. From one window to the next the counts of
+   set bits change by the shingles that come and go; four counts share a long, so that a step is 16 sums.
+3. Candidates. A fingerprint is cut into 8 blocks. Two within ``RADIUS`` = 23 bits agree up to 2 bits in some block;
+   items are listed under all 37 values that near to each of their blocks, so that a window's 8 look-ups give every
+   item of its size within the radius, and no other place knows which item a window might match.
+4. Verification computes the weighted similarity of the shingles themselves.
 
 Two shingle sets at 0.8 differ in 9 bits on average, with a standard deviation of about 3.
 
-The benchmark is a small given set: its anchors go to every task if they number ``literal_bound`` at most.
-Beyond that every shingle of the corpus is looked up by a shuffled join instead.
+The benchmark is a small given set: its anchors go to every task if they number ``literal_bound`` at most. Beyond
+that the hashes of all shingles are looked up by a shuffled join, and the words around those found are cut out of
+the texts afterwards.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import ascii_lower, cut, unused
 
 SHINGLE, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 23, 8
+#: Words of a document whose anchors are looked at together.
+PIECE = 64
 #: All differences of up to 2 bits in a block of 8.
 _FLIPS = [sum(1 << k for k in c) for n in range(RADIUS // BLOCKS + 1) for c in combinations(range(64 // BLOCKS), n)]
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Four bits are spread to lanes of 15 bits by a product and a mask; a lane counts up to 2^14 shingles.
+_SPREAD, _LANES = sum(1 << 14 * k for k in range(4)), sum(1 << 15 * k for k in range(4))
+MOST_WORDS = (1 << 14) - 1
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased runs of letters, digits and characters beyond ASCII; null gives none."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _SEPARATORS), "")
+    """Runs of letters, digits and characters beyond ASCII, A-Z lower-cased; null gives none."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), _SEPARATORS), "")
 
 
 def _shingles(words: str) -> Column:
@@ -63,9 +71,11 @@ def _with_fingerprint(rows: DataFrame) -> DataFrame:
 
 
 def _similarity(a: str, b: str) -> Column:
-    """Sum of smaller over sum of larger counts of the elements of two arrays; both arrays are item-sized."""
-    shared = f"aggregate(array_distinct({a}), 0L, (acc, x) -> acc + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
-    return F.expr(f"{shared} / double(size({a}) + size({b}) - {shared})")
+    """Sum of smaller over sum of larger counts of the elements of two arrays."""
+    repeats = f"size(array_distinct({a})) < size({a}) AND size(array_distinct({b})) < size({b})"
+    counted = f"aggregate(array_distinct({a}), 0, (acc, x) -> acc + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
+    shared = f"(CASE WHEN {repeats} THEN {counted} ELSE size(array_intersect({a}, {b})) END)"
+    return F.expr(f"transform(array({shared}), n -> n / double(size({a}) + size({b}) - n))[0]")
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -87,60 +97,74 @@ def _anchors(items: DataFrame, threshold: float) -> DataFrame:
     return chosen.select("item_id", "size", "at", "width", "gate", F.xxhash64("shingle").alias("anchor"))
 
 
-def _hits(docs: DataFrame, anchors: DataFrame, longest: int, widths: list[int], literal_bound: int) -> DataFrame:
-    """(doc_id, at, anchor, context, first): places with an anchor and the words around them."""
-    rows = docs.select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("words"))
+def _places(docs: DataFrame, anchors: DataFrame, widths: list[int], literal_bound: int) -> DataFrame:
+    """(doc_id, words, hits): documents that hold an anchor, with all places (at, width, anchor)."""
+    rows = docs.select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("words"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("digest"))
     hash_at = "xxhash64(array_join(slice(words, s + 1, {w}), ' '))"
-    around = f"struct(s AS at, {hash_at} AS anchor, greatest(0, s - {longest}) AS first, slice(words, greatest(0, s - {longest}) + 1, {2 * longest + SHINGLE}) AS context)"
-    found = []
     small = anchors.select("gate", "width", "anchor").distinct().limit(literal_bound + 1).collect()
-    if len(small) <= literal_bound:
-        gates = sorted({r["gate"] for r in small})
-        rows = rows.withColumn("gates", F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(gates), i))))
-        rows = rows.filter(F.size("gates") > 0)
-        for w in widths:
-            known = sorted({r["anchor"] for r in small if r["width"] == w})
-            starts = F.expr(f"array_distinct(flatten(transform(gates, g -> transform(sequence(0, {w - 1}), o -> g - o))))")
-            starts = F.filter(starts, lambda s: (s >= 0) & (s <= F.size("words") - w))
-            rows = rows.withColumn(f"starts{w}", starts)
-            inside = F.filter(f"starts{w}", lambda s: F.xxhash64(F.array_join(F.slice("words", s + 1, w), " ")).isin(known))
-            found.append((w, inside))
-    else:
-        for w in widths:
-            found.append((w, F.expr(f"CASE WHEN size(words) < {w} THEN array() ELSE sequence(0, size(words) - {w}) END")))
+    if len(small) > literal_bound:
+        every = reduce(DataFrame.union, [rows.select("digest", F.explode(F.expr(f"transform(CASE WHEN size(words) < {w} THEN array() ELSE sequence(0, size(words) - {w}) END, s -> struct(s AS at, {w} AS width, {hash_at.format(w=w)} AS anchor))")).alias("hit")) for w in widths])
+        known = anchors.select("anchor", "width").distinct()
+        found = every.select("digest", "hit.*").join(known, ["anchor", "width"]).groupBy("digest").agg(F.collect_set(F.struct("at", "width", "anchor")).alias("hits"))
+        return rows.join(found, "digest").select("doc_id", "words", "hits")
+    # The gate words, the longest of each anchor, are looked up in the row itself, and hashes only beside them.
+    gates = sorted({r["gate"] for r in small})
+    rows = rows.withColumn("gates", F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(gates), i)))).filter(F.size("gates") > 0)
+
+    def within(hits: Column, known: list[int]) -> Column:
+        return F.filter(hits, lambda x: x["anchor"].isin(known))
+
     parts = []
-    for w, starts in found:
-        one = rows.withColumn("s", starts).select("doc_id", F.explode(F.expr(f"transform(s, s -> {around.format(w=w)})")).alias("x"))
-        parts.append(one.select("doc_id", F.lit(w).alias("width"), "x.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-def _windows(hits: DataFrame, anchors: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, start, size, window): windows over a hit with enough places whose shingle the item has."""
-    near = hits.join(anchors.select("item_id", "size", "width", "anchor").distinct(), ["anchor", "width"])
-    near = near.join(items.select("item_id", F.array_distinct("hashes").alias("own")), "item_id")
-    # Places low to high are those of all shingles that windows over the hit can hold.
-    low, high = F.expr("greatest(0, at - size + width)"), F.expr("least(at + size - width, first + size(context) - width)")
-    near = near.withColumn("low", low).withColumn("high", high)
-    shared = F.expr("transform(sequence(low, high), p -> CAST(array_contains(own, xxhash64(array_join(slice(context, p - first + 1, width), ' '))) AS INT))")
-    n, of = "greatest(1, size - width + 1)", "(least(high, s + size - width) - greatest(0, s) + 1)"
-    inside = f"aggregate(slice(x, greatest(0, s) - low + 1, {of}), 0, (a, y) -> a + y)"
-    enough = f"{inside} * (1 + {threshold}D) >= {threshold}D * ({n} + {of}) - 1e-9D"
-    # The one-element array binds x, so that it is computed once for all windows.
-    starts = F.expr(f"flatten(transform(array(shared), x -> filter(sequence(at - size + width, at), s -> {enough})))")
-    near = near.withColumn("shared", shared).withColumn("starts", starts).select("doc_id", "size", "first", "context", F.explode("starts").alias("s"))
-    window = F.expr("array_join(slice(context, greatest(0, s) - first + 1, s + size - greatest(0, s)), ' ')")
-    return near.select("doc_id", F.greatest(F.lit(0), "s").alias("start"), "size", window.alias("window"))
+    for w in widths:
+        known = sorted({r["anchor"] for r in small if r["width"] == w})
+        starts = F.expr(f"array_distinct(flatten(transform(gates, g -> transform(sequence(0, {w - 1}), o -> g - o))))")
+        hit = F.expr(f"transform(filter(starts{w}, s -> s >= 0 AND s <= size(words) - {w}), s -> struct(s AS at, {w} AS width, {hash_at.format(w=w)} AS anchor))")
+        rows = rows.withColumn(f"starts{w}", starts).withColumn(f"hits{w}", within(hit, known))
+        parts.append(f"hits{w}")
+    return rows.select("doc_id", "words", F.concat(*parts).alias("hits")).filter(F.size("hits") > 0)
+
+
+def _pieces(places: DataFrame, longest: int) -> DataFrame:
+    """(piece, doc_id, first, n, words, hits): the words around the hits of each ``PIECE`` words; n are the document's words."""
+    own = f"filter(hits, h -> h.at div {PIECE} = p)"
+    first = f"greatest(0, CAST(p AS INT) * {PIECE} - {longest})"
+    piece = f"struct({first} AS first, size(words) AS n, slice(words, {first} + 1, {PIECE + SHINGLE + 2 * longest}) AS words, {own} AS hits)"
+    out = places.select("doc_id", F.explode(F.expr(f"transform(array_distinct(transform(hits, h -> h.at div {PIECE})), p -> {piece})")).alias("x"))
+    return cut(out.select("doc_id", "x.*").withColumn("piece", F.monotonically_increasing_id()))
+
+
+def _windows(pieces: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(piece, size, width, s, fp): all windows over an anchor of an item of that size, with their SimHash."""
+    sizes = anchors.select("anchor", "width", "size").distinct()
+    of_size = pieces.select("piece", F.explode("hits").alias("h")).select("piece", "h.*").join(sizes, ["anchor", "width"])
+    of_size = of_size.groupBy("piece", "size", "width").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    rows = of_size.join(pieces.select("piece", "first", "n", "words"), "piece")
+    # A window belongs to the first anchor in it, so that none is there twice.
+    low = "greatest(a - size + width, CASE WHEN i = 0 THEN a - size + width ELSE ats[i - 1] + 1 END)"
+    rows = rows.withColumn("starts", F.expr(f"flatten(transform(ats, (a, i) -> sequence({low}, a)))"))
+    hashes = "transform(sequence(0, size(words) - width), p -> xxhash64(array_join(slice(words, p + 1, width), ' ')))"
+    lanes = f"transform({hashes}, h -> transform(sequence(0, 15), k -> ((shiftright(h, 4 * k) & 15L) * {_SPREAD}L) & {_LANES}L))"
+    begin, end = "(greatest(0, s) - first)", "(least(n, s + size) - first - width + 1)"
+    added = f"aggregate(slice(lanes, acc.t + 1, {end} - acc.t), acc.c, (c, x) -> zip_with(c, x, (p, q) -> p + q))"
+    moved = f"aggregate(slice(lanes, acc.f + 1, {begin} - acc.f), {added}, (c, x) -> zip_with(c, x, (p, q) -> p - q))"
+    # Bit 14 of a lane tells whether its count is over half of the window's shingles.
+    tested = f"shiftright(c[k] + (16383L - ({end} - {begin}) div 2) * {_LANES}L, 14) & {_LANES}L"
+    four = f"transform(array({tested}), b -> (b | shiftright(b, 14) | shiftright(b, 28) | shiftright(b, 42)) & 15L)[0]"
+    fp = f"aggregate(sequence(0, 15), 0L, (acc2, k) -> acc2 | shiftleft({four}, 4 * k))"
+    begun = "struct(greatest(0, starts[0]) - first AS f, greatest(0, starts[0]) - first AS t, array_repeat(0L, 16) AS c, CAST(array() AS array<struct<s: int, fp: bigint>>) AS out)"
+    step = f"transform(array({moved}), c -> struct({begin} AS f, {end} AS t, c AS c, array_append(acc.out, struct(s AS s, {fp} AS fp)) AS out))[0]"
+    # One-element arrays bind what is used more than once, so that it is computed once.
+    found = F.expr(f"transform(array({lanes}), lanes -> aggregate(starts, {begun}, (acc, s) -> {step}, acc -> acc.out))[0]")
+    return cut(rows.select("piece", "size", "width", F.explode(found).alias("x")).select("piece", "size", "width", "x.s", "x.fp"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, literal_bound: int = 50_000) -> DataFrame:
     """(doc_id, item_id, start, similarity): for each pair that matches its most similar window, the first of equals.
 
     * Null, empty and wordless texts and items match nothing. Rows with one doc_id, or with a null one, are one document.
-    * Items with the same text all match. Items of under 5 words have one shingle, the whole.
+    * Items with the same text all match. Items of under 5 words have one shingle, the whole; those of over
+      ``MOST_WORDS`` words are refused.
+    * Very long texts are scanned whole, and go on in pieces around their anchors.
     * Other columns are not looked at. Empty tables give an empty result.
     """
     items = cut(_items(benchmark))
@@ -148,22 +172,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     shape = items.agg(F.max("size").alias("longest"), F.collect_set(F.least(F.lit(SHINGLE), F.col("size"))).alias("widths")).first()
     if not shape["widths"]:
         return docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity")).limit(0)
-    hits = _hits(docs, anchors, shape["longest"], sorted(shape["widths"]), literal_bound)
-    windows = cut(_windows(hits, anchors, items, threshold).distinct())
+    if shape["longest"] > MOST_WORDS:
+        raise ValueError(f"an item has {shape['longest']} words; windows have {MOST_WORDS} at most")
+    pieces = _pieces(_places(docs, anchors, sorted(shape["widths"]), literal_bound), shape["longest"])
+    windows = _windows(pieces, anchors)
 
-    contents = windows.select("size", "window").distinct().withColumn("words", F.split("window", " "))
-    contents = cut(_with_fingerprint(contents).select("size", "window", "fp", "shingles"))
     block = F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> struct(b AS block, CAST(shiftright(fp, b * {64 // BLOCKS}) & 255L AS INT) AS value))")
     flips = F.array(*[F.lit(x) for x in _FLIPS])
     listed = items.select("item_id", "size", "fp", F.explode(block).alias("b")).withColumn("flip", F.explode(flips))
     listed = listed.select("item_id", "size", F.col("fp").alias("item_fp"), "b.block", F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
-    probes = contents.select("size", "window", "fp", F.explode(block).alias("b")).select("size", "window", "fp", "b.*")
+    probes = windows.select("size", "fp").distinct().select("size", "fp", F.explode(block).alias("b")).select("size", "fp", "b.*")
     near = probes.join(listed, ["size", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select("size", "window", "item_id").distinct().join(contents.select("size", "window", "shingles"), ["size", "window"])
-    near = near.join(items.select("item_id", F.col("shingles").alias("item_shingles")), "item_id").withColumn("similarity", _similarity("shingles", "item_shingles"))
-    same = cut(near.select("size", "window", "item_id", "similarity").filter(F.col("similarity") >= threshold))
-    found = windows.join(same, ["size", "window"])
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("x"))
+    near = cut(near.select("size", "fp", "item_id").distinct())
+
+    said = F.expr("slice(words, greatest(0, s) - first + 1, least(n, s + size) - greatest(0, s))")
+    candidates = windows.join(near, ["size", "fp"]).join(pieces.select("piece", "doc_id", "first", "n", "words"), "piece")
+    candidates = candidates.select("doc_id", "item_id", F.greatest(F.lit(0), "s").alias("start"), said.alias("words"))
+    # The windows of equal texts are compared once.
+    pairs = cut(candidates.select("item_id", "words").distinct().withColumn("shingles", _shingles("words")))
+    pairs = pairs.join(items.select("item_id", F.col("shingles").alias("item_shingles")), "item_id").withColumn("similarity", _similarity("shingles", "item_shingles"))
+    same = cut(pairs.filter(F.col("similarity") >= threshold).select("item_id", "words", "similarity"))
+    best = candidates.join(same, ["item_id", "words"]).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("x"))
     return best.select("doc_id", "item_id", (-F.col("x.col2")).alias("start"), "x.similarity")
 
 
@@ -175,6 +204,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that match an item."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without the rows of documents that match an item; all columns stay as they are, whatever they are called."""
+    own = unused("bad", docs.columns)
+    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(own))
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_anti")
