@@ -121,7 +121,7 @@ def _places(docs: DataFrame, anchors: DataFrame, widths: list[int], literal_boun
         hit = F.expr(f"transform(filter(starts{w}, s -> s >= 0 AND s <= size(words) - {w}), s -> struct(s AS at, {w} AS width, {hash_at.format(w=w)} AS anchor))")
         rows = rows.withColumn(f"starts{w}", starts).withColumn(f"hits{w}", within(hit, known))
         parts.append(f"hits{w}")
-    return rows.select("doc_id", "words", F.concat(*parts).alias("hits")).filter(F.size("hits") > 0)
+    return rows.select("doc_id", "words", F.concat(*parts).alias("hits"))
 
 
 def _pieces(places: DataFrame, longest: int) -> DataFrame:
@@ -129,7 +129,8 @@ def _pieces(places: DataFrame, longest: int) -> DataFrame:
     own = f"filter(hits, h -> h.at div {PIECE} = p)"
     first = f"greatest(0, CAST(p AS INT) * {PIECE} - {longest})"
     piece = f"struct({first} AS first, size(words) AS n, slice(words, {first} + 1, {PIECE + SHINGLE + 2 * longest}) AS words, {own} AS hits)"
-    out = places.select("doc_id", F.explode(F.expr(f"transform(array_distinct(transform(hits, h -> h.at div {PIECE})), p -> {piece})")).alias("x"))
+    # An outer generator, as for an inner one the optimizer would look below it for empty arrays, computing all of this twice.
+    out = places.select("doc_id", F.explode_outer(F.expr(f"transform(array_distinct(transform(hits, h -> h.at div {PIECE})), p -> {piece})")).alias("x")).filter("x is not null")
     return cut(out.select("doc_id", "x.*").withColumn("piece", F.monotonically_increasing_id()))
 
 
@@ -155,7 +156,7 @@ def _windows(pieces: DataFrame, anchors: DataFrame) -> DataFrame:
     step = f"transform(array({moved}), c -> struct({begin} AS f, {end} AS t, c AS c, array_append(acc.out, struct(s AS s, {fp} AS fp)) AS out))[0]"
     # One-element arrays bind what is used more than once, so that it is computed once.
     found = F.expr(f"transform(array({lanes}), lanes -> aggregate(starts, {begun}, (acc, s) -> {step}, acc -> acc.out))[0]")
-    return cut(rows.select("piece", "size", "width", F.explode(found).alias("x")).select("piece", "size", "width", "x.s", "x.fp"))
+    return cut(rows.select("piece", "size", "width", F.explode_outer(found).alias("x")).filter("x is not null").select("piece", "size", "width", "x.s", "x.fp"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, literal_bound: int = 50_000) -> DataFrame:
