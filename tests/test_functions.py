@@ -161,3 +161,6 @@ def test_history_files(spark, tmp_path):
     assert history.read_history(spark, str(tmp_path), year=2024).count() == 1
     assert sum(r._corrupt_record is None for r in history.read_history(spark, str(tmp_path), any_json=True).collect()) == 7
     assert set(raw.columns) & {"ip_addr"} == set()
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "export.json").write_text(json.dumps([row]))
+    assert history.read_history(spark, str(tmp_path / "other")).count() == 1  # no file has the usual name

@@ -106,6 +106,62 @@ def test_writes_can_be_repeated(spark, tmp_path):
     assert docs[2].errors == {"features": "bad", "analysis": "bad"} and docs[1].errors == {}
 
 
+def test_side_maps_and_logs_are_read(spark, tmp_path):
+    from tidemark.sources import files
+
+    (tmp_path / "map.json").write_text(json.dumps({"a": "/x/a.wav", "b": "/x/b.wav"}))
+    (tmp_path / "log.txt").write_text("[download] Destination: x\n403 Forbidden\n")
+    tracks = spark.createDataFrame([("a",), ("c",)], "track_id string")
+    got = files.with_paths(tracks, files.side_map(spark, str(tmp_path / "map.json"))).collect()
+    assert {(r.track_id, r.path) for r in got} == {("a", "/x/a.wav"), ("c", "c")}
+    from tidemark.operators.state import classify_log, retry_failed
+
+    c = classify_log(files.read_log(spark, str(tmp_path / "log.txt"))).first()
+    assert (c.downloads, c.forbid, c.verdict) == (1, 2, "downloading")
+    state = spark.createDataFrame([("a", "failed"), ("b", "done")], "track_id string, status string")
+    assert [r.track_id for r in retry_failed(state).collect()] == ["b"]
+
+
+def test_a_broken_off_swap_is_put_right(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = lambda *v: spark.createDataFrame(list(v), "id long, v string")
+    sinks.upsert_table(rows((1, "a"), (2, "b")), path, ["id"])
+    (tmp_path / "table").rename(tmp_path / "table.old")  # as after a crash between the two renames
+    sinks.upsert_table(rows((2, "c")), path, ["id"])
+    assert {(r.id, r.v) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c")} and not (tmp_path / "table.old").exists()
+    before = set((tmp_path / "table").iterdir())
+    sinks.insert_table(rows((2, "x"), (3, "d"), (3, "d")), path, ["id"])
+    assert before <= set((tmp_path / "table").iterdir())
+    assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_neighbours_at_the_same_distance_are_the_smallest_ids(spark):
+    rows = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(1, 40)] + [(100, [1.0, 0.1])], "id long, vector array<double>").repartition(5)
+    got = V.knn(rows.filter("id = 100"), rows, 4).orderBy("place").collect()
+    assert [r.id for r in got] == [1, 2, 3, 4]
+
+
+def test_lookups(spark):
+    from tidemark.operators import lookup as K
+
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    assert [r.v for r in K.get(t, id=2).collect()] == ["b"] and K.get(t, id=9).count() == 0
+    assert K.safe_count(lambda: t) == 2 and K.safe_count(lambda: spark.read.parquet("/no/such/table")) == 0
+    got = spark.createDataFrame([('{"a":"1","b":"2"}', '{"b":null,"c":"3"}'), (None, None)], "o string, p string").select(K.merge_patch(F.col("o"), F.col("p"))).collect()
+    assert [r[0] for r in got] == ['{"a":"1","c":"3"}', "{}"]
+    key = spark.createDataFrame([(None, 3), (5, 3)], "deep int, own int").select(K.key_or(F.col("deep"), F.col("own"))).collect()
+    assert [r[0] for r in key] == [3, 5]
+
+
+def test_exact_identity_follows_long_chains(spark):
+    """Plays that are linked by a chain of ids and names, longer than any number of rounds, are one component."""
+    n = 600
+    rows = [(2 * k, f"i{k}", f"v{k}") for k in range(n)] + [(2 * k + 1, f"i{k}", f"v{k + 1}") for k in range(n)]
+    got = {r.seq: r.entry_key for r in C.assign_entries_exact(spark.createDataFrame(rows, "seq long, external_id string, vkey string")).collect()}
+    want = fold([(e, v) for _, e, v in sorted(rows)])
+    assert groups([got[s] for s in sorted(got)]) == groups(want)
+
+
 def test_job_stream_is_idempotent(spark, tmp_path):
     src = tmp_path / "jobs"
     src.mkdir()

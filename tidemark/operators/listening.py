@@ -16,8 +16,10 @@ WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 HOUR_MS = 3_600_000
 
 
-def hours() -> Column:
-    return (F.sum("ms_played") / HOUR_MS).alias("hours")
+def hours(digits: int | None = None) -> Column:
+    """Hours played; rounded half to even where a report says to how many digits."""
+    h = F.sum("ms_played") / HOUR_MS
+    return (h if digits is None else F.bround(h, digits)).alias("hours")
 
 
 def plays_count() -> Column:
@@ -25,7 +27,7 @@ def plays_count() -> Column:
 
 
 def rate(part: str, whole: str, digits: int = 1) -> Column:
-    return F.round(100.0 * F.col(part) / F.col(whole), digits)
+    return F.bround(100.0 * F.col(part) / F.col(whole), digits)
 
 
 def known(plays: DataFrame, *keys: str) -> DataFrame:

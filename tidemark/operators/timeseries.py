@@ -124,6 +124,13 @@ def syncopation(onsets: DataFrame, beats: DataFrame, by: list[str], t: str = "t"
     return nearest(onsets, beats, by, t).join(gaps, by).groupBy(*by).agg(F.avg(far).alias("syncopation"))
 
 
+def rhythm_block(points: DataFrame, onsets: DataFrame, beats: DataFrame, by: list[str], value: str) -> DataFrame:
+    """One row for each key: beats, times between them, regularity, entropy of the values and syncopation; null for under four beats."""
+    block = beat_stats(points, by).join(rhythmic_entropy(spread_histogram(points, by, value), by), by, "left").join(syncopation(onsets, beats, by), by, "left")
+    measures = ["ibi_mean", "ibi_std", "regularity", "entropy", "syncopation"]
+    return block.select(*by, "beats", *[F.when(F.col("beats") >= 4, F.col(c)).alias(c) for c in measures])
+
+
 def beats_per_bar(beats: DataFrame, downbeats: DataFrame, by: list[str], t: str = "t") -> DataFrame:
     """(by, bar, n): beats from each downbeat to the next; the last downbeat opens no bar.
 

@@ -18,8 +18,6 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 BLOCK, QUERY_BLOCK = 4096, 512
-#: From so many vectors on, cells are worth their loss.
-ANN_FROM = 100_000
 
 
 def l2_norm(v: Column) -> Column:
@@ -121,6 +119,19 @@ def weighted_centroids(vectors: DataFrame, key: str, weight: str) -> DataFrame:
     return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vector"))
 
 
+def with_tracks(vectors: DataFrame, tracks: DataFrame, key: str = "id") -> DataFrame:
+    """Vectors (or neighbours) with the columns of their tracks; those of unknown tracks are left out."""
+    return vectors.join(tracks, key)
+
+
+def centroid_search(queries: DataFrame, vectors: DataFrame, key: str, weight: str, k: int) -> DataFrame:
+    """(query_id, id, distance, place): the keys whose weighted centroids are nearest to each query. ``key`` is a whole number."""
+    centroids = weighted_centroids(vectors, key, weight).select(F.col(key).cast("long").alias("id"), "vector")
+    # Queries and keys are numbered apart, so that no query is taken for the centroid of the same number.
+    found = knn(queries.select((-1 - F.col("id")).alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("vector")), centroids, k)
+    return found.withColumn("query_id", -1 - F.col("query_id"))
+
+
 # ---- cells
 
 
@@ -162,7 +173,7 @@ def knn_cells(queries: DataFrame, vectors: DataFrame, k: int, n_cells: int | Non
     """``knn`` over the nearest cells of each query only. Every vector is in a cell; the cells come from a sample.
 
     Two thirds of the cells are looked at unless told otherwise, which finds nine in ten of the nearest even among
-    vectors without clusters; clustered ones need far fewer.
+    vectors without clusters, where no index can do with few; for clustered ones say how many ``probes`` do.
     """
     n_cells = n_cells or max(1, int(2 * vectors.count() ** 0.5))
     probes = probes or max(-(-2 * n_cells // 3), 8)
@@ -190,7 +201,7 @@ def feature_vectors(features: DataFrame, id_: str = "id") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            z = np.stack(pdf["v"]).astype(np.float32) @ projection()
+            z = np.stack(pdf["v"]).astype(np.float64) @ projection().astype(np.float64)
             z = z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-8)
             yield pd.DataFrame({"id": pdf["id"], "vector": list(z.astype(np.float32))})
 

@@ -43,14 +43,19 @@ def overview(spark, sf):
     return L.overview(events(spark, sf))
 
 
-@query(ranked(LI, "track, artist", f"count(*) AS plays, {H}", "plays", 25))
+def rounded_hours(digits: int) -> str:
+    return f"round_even(sum(ms) / 3600000.0, {digits}) AS hours"
+
+
+@query(ranked(LI, "track, artist", f"count(*) AS plays, {rounded_hours(1)}", "plays", 25))
 def top_tracks_by_plays(spark, sf):
-    return L.top(lines(spark, sf), ["track", "artist"], [L.plays_count(), L.hours()], "plays", 25)
+    return L.top(lines(spark, sf), ["track", "artist"], [L.plays_count(), L.hours(1)], "plays", 25)
 
 
-@query(ranked(LI, "track, artist", f"count(*) AS plays, {H}", "hours", 25))
+@query(ranked(LI, "track, artist", f"count(*) AS plays, {rounded_hours(2)}", "sum(ms)", 25))
 def top_tracks_by_hours(spark, sf):
-    return L.top(lines(spark, sf), ["track", "artist"], [L.plays_count(), L.hours()], "hours", 25)
+    """Ranked before rounding."""
+    return L.top(lines(spark, sf), ["track", "artist"], [L.plays_count(), L.hours(2), F.sum("ms_played").alias("ms")], "ms", 25).drop("ms")
 
 
 @query(ranked(LI, "artist", f"count(*) AS plays, {H}, count(DISTINCT track) AS tracks", "plays", 25))
@@ -92,13 +97,13 @@ def top_days(spark, sf):
 _SKIPS = "count(*) AS plays, CAST(sum(CAST(skipped AS INTEGER)) AS BIGINT) AS skips, CAST(sum(CAST(short_play AS INTEGER)) AS BIGINT) AS short_plays"
 
 
-@query(LI + f"""SELECT *, round(100.0 * skips / plays, 1) AS skip_rate FROM (SELECT artist, {_SKIPS} FROM plays GROUP BY artist)
+@query(LI + f"""SELECT *, round_even(100.0 * skips / plays, 1) AS skip_rate FROM (SELECT artist, {_SKIPS} FROM plays GROUP BY artist)
     WHERE plays >= 20 ORDER BY skip_rate DESC, plays DESC, artist LIMIT 20""")
 def artist_skip_rates(spark, sf):
     return L.skip_rates(lines(spark, sf), ["artist"], 20, 20)
 
 
-@query(LI + f"""SELECT *, round(100.0 * skips / plays, 1) AS skip_rate FROM (SELECT track, artist, {_SKIPS} FROM plays GROUP BY track, artist)
+@query(LI + f"""SELECT *, round_even(100.0 * skips / plays, 1) AS skip_rate FROM (SELECT track, artist, {_SKIPS} FROM plays GROUP BY track, artist)
     WHERE plays >= 5 ORDER BY skip_rate DESC, plays DESC, track, artist LIMIT 20""")
 def track_skip_rates(spark, sf):
     return L.skip_rates(lines(spark, sf), ["track", "artist"], 5, 20)
@@ -131,10 +136,10 @@ def discovery_timeline(spark, sf):
     return L.discovery(lines(spark, sf))
 
 
-@query(LI + f"""SELECT *, repeat('█', CAST(floor(round(hours, 1) / max(round(hours, 1)) OVER () * 40) AS INTEGER)) AS bar
+@query(LI + f"""SELECT *, repeat('█', CAST(floor(round_even(hours, 1) / max(round_even(hours, 1)) OVER () * 40) AS INTEGER)) AS bar
     FROM (SELECT month, count(*) AS plays, {H} FROM plays GROUP BY month)""")
 def monthly_trend(spark, sf):
-    return L.with_bar(L.profile(lines(spark, sf), "month"), F.round("hours", 1), 40)
+    return L.with_bar(L.profile(lines(spark, sf), "month"), F.bround("hours", 1), 40)
 
 
 @query(LI + """SELECT year, artist, ms / 3600000.0 AS hours, place FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY ms DESC, artist) AS place

@@ -31,4 +31,4 @@ def query(sql: str | None = None, rounded: str = "") -> Callable:
     return add
 
 
-from tidemark.plans import catalog, listening, series, state, streams, vectors  # noqa: E402,F401  they register their queries
+from tidemark.plans import catalog, files, listening, lookups, series, state, streams, vectors  # noqa: E402,F401  they register their queries

@@ -94,7 +94,12 @@ def mean_pooled(spark, sf):
     return V.weighted_centroids(vectors(spark, sf).withColumn("one", F.lit(1)), "label", "one")
 
 
-@query()
+_FV = "[" + ", ".join(f"least(greatest(abs(x[{k + 1}]), 0.0), 1.0)" for k in range(7)) + ", (60 - abs(x[8])) / 60, abs(x[9]) * 250 / 250, (id % 2)::DOUBLE] || list_transform(range(12), lambda k: CASE WHEN k = id % 13 - 1 THEN 1.0 ELSE 0.0 END)"
+_ROWS = "[" + ", ".join(str(V.projection()[:22, j].astype(float).tolist()) for j in range(128)) + "]"
+
+
+@query(f"""WITH e AS (SELECT vec_id AS id, {_D} AS x FROM embeddings), v AS (SELECT id, CAST({_FV} AS DOUBLE[]) AS f FROM e), z AS (SELECT id, list_transform(CAST({_ROWS} AS DOUBLE[][]), lambda r: list_inner_product(f, r)) AS z FROM v)
+    SELECT id, CAST(list_transform(z, lambda y: y / (sqrt(list_inner_product(z, z)) + 1e-8)) AS FLOAT[]) AS vector FROM z""")
 def feature_vectors(spark, sf):
     """128-part vectors of synthetic features: the first parts of each embedding, brought to 0 to 1."""
     x = lambda k: F.abs(F.col("vector")[k].cast("double"))
