@@ -6,19 +6,29 @@ from pyspark.sql import functions as F
 from tidemark.llm import simhash_dedup as S
 
 
-def plain_fingerprint(text):
+def scrambled(h, k):
+    """Output k of SplitMix64 whose state is h; the hash itself for k = 0."""
+    if k == 0:
+        return h
+    z = (h + k * 0x9E3779B97F4A7C15) % 2**64
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+    return z ^ z >> 31
+
+
+def plain_fingerprint(text, k=0, size=3):
     words = (text or "").encode().lower().split()
-    grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
-    hashes = [xxhash.xxh64_intdigest(g, seed=42) for g in grams]
+    grams = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    hashes = [scrambled(xxhash.xxh64_intdigest(g, seed=42), k) for g in grams]
     return sum(1 << k for k in range(64) if sum(h >> k & 1 for h in hashes) * 2 > len(hashes) > 0)
 
 
 def plain_classes(fps):
-    """{index: smallest index reachable}, by comparing all pairs."""
+    """Smallest index reachable of each index, by comparing all pairs; of lists of fingerprints, any two in the same place link."""
     at = list(range(len(fps)))
-    x = np.array(fps, np.uint64)
+    x = np.array(fps, np.uint64).reshape(len(fps), -1)
     changed = True
-    near = [np.flatnonzero(np.bitwise_count(x ^ v) <= 3) for v in x]
+    near = [np.flatnonzero((np.bitwise_count(x ^ v) <= 3).any(axis=1)) for v in x]
     while changed:
         changed = False
         for i, js in enumerate(near):
@@ -53,6 +63,33 @@ def test_classes_equal_those_of_all_pairs(spark, split_at):
     assert kept == set(want)
 
 
+def test_families_follow_their_definition():
+    for t in (None, "", "One", "A b c", "a b c d e f " * 40, " ".join(map(str, range(300)))):
+        assert S.family(t, 4, 5) == [plain_fingerprint(t, k, 5) for k in range(4)]
+
+
+@pytest.mark.parametrize("split_at", [512, 1])
+def test_several_fingerprints_equal_all_pairs(spark, split_at):
+    rng = np.random.default_rng(5)
+    texts = [None, "", "one", "one", "one two"]
+    for n in (30, 90, 200, 300):
+        b = [f"w{k}" for k in rng.integers(0, 5000, n)]
+        texts.append(" ".join(b))
+        for _ in range(10):
+            w = list(b)
+            for at in rng.integers(0, n, 1 + n // 100):
+                w[at] = "changed"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate([*texts, *texts[:7]])), "doc_id long, text string").repartition(3)
+    options = {"words_per_shingle": 5, "count": 4, "split_at": split_at}
+    fps = [[plain_fingerprint(t, k, 5) for k in range(4)] for t in [*texts, *texts[:7]]]
+    want = plain_classes(fps)
+    assert {r.doc_id: (r.fp, r.component_id) for r in S.near_duplicates(df, **options).collect()} == {i: (S._signed(f[0]), c) for i, (f, c) in enumerate(zip(fps, want, strict=True))}
+    assert len(set(want)) < len(set(plain_classes([f[0] for f in fps])))
+    assert {r.doc_id for r in S.keep_first(df, **options).collect()} == set(want)
+    assert S.near_duplicates(df.limit(0), **options).count() == 0
+
+
 def test_ball_search_finds_what_all_pairs_find(monkeypatch):
     rng = np.random.default_rng(1)
     x = np.unique(rng.integers(0, 1 << 14, 5000).astype(np.int64) << 3)

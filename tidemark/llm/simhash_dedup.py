@@ -28,20 +28,27 @@ RADIUS, MIN_SHARED = 3, 5
 #: Members from which on a list whose pairs all have the minimum of shared bytes is verified by look-ups.
 DENSE = 4096
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
+# The constants of SplitMix64.
+_GAMMA, _MIX, _MASK = 0x9E3779B97F4A7C15, (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), (1 << 64) - 1
 _KEYS = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of the text's word shingles, repeats included; 0 if there is no word."""
+def _hashes(text: str | None, words_per_shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each word shingle, as rows of 8 bytes; no row if there is no word."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty((0, 8), np.uint8)
     joined, n = b" ".join(words), max(1, len(words) - words_per_shingle + 1)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     digest = xxhash.xxh64_digest
     spans = zip((ends - sizes)[:n].tolist(), ends[-n:].tolist(), strict=True)
-    raw = np.frombuffer(b"".join([digest(joined[i:j], seed) for i, j in spans]), np.uint8).reshape(n, 8)
+    return np.frombuffer(b"".join([digest(joined[i:j], seed) for i, j in spans]), np.uint8).reshape(n, 8)
+
+
+def _majority(raw: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned number; 0 of none."""
+    n = len(raw)
     if n < 64:
         votes = np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
     else:
@@ -50,31 +57,52 @@ def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) ->
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of the text's word shingles, repeats included; 0 if there is no word."""
+    return _majority(_hashes(text, words_per_shingle, seed))
+
+
+def family(text: str | None, count: int, words_per_shingle: int = 3, seed: int = 42) -> list[int]:
+    """``count`` fingerprints of a text: the k-th is over the shingles' hashes scrambled by the k-th step of SplitMix64.
+
+    The first is ``fingerprint``. Texts are hashed once, whatever the count.
+    """
+    raw = _hashes(text, words_per_shingle, seed)
+    h, out = raw.view(">u8").astype(np.uint64).ravel(), [_majority(raw)]
+    for k in range(1, count):
+        z = h + np.uint64(k * _GAMMA & _MASK)
+        z = (z ^ (z >> np.uint64(30))) * _MIX[0]
+        z = (z ^ (z >> np.uint64(27))) * _MIX[1]
+        z ^= z >> np.uint64(31)
+        out.append(_majority(z.astype(">u8").view(np.uint8).reshape(-1, 8)))
+    return out
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) for each row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42, count: int = 1) -> DataFrame:
+    """(doc_id, fps) for each row; fps are the ``count`` fingerprints as signed longs."""
 
     def run(columns: list) -> Iterator[tuple]:
-        known: dict[str | None, int] = {}
+        known: dict[str | None, list[int]] = {}
         for doc_id, text in zip(*columns, strict=True):
             if text not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[text] = _signed(fingerprint(text, words_per_shingle, seed))
+                known[text] = [_signed(x) for x in family(text, count, words_per_shingle, seed)]
             yield doc_id, known[text]
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long,fp long")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long,fps array<long>")
 
 
 def _byte(c: str, k: int) -> Column:
     return F.shiftrightunsigned(F.col(c), 56 - 8 * k).bitwiseAND(F.lit(255).cast("long"))
 
 
-def _list_key(c: str, positions: tuple[int, ...], number: int) -> Column:
-    key = F.lit(number).cast("long")
+def _list_key(c: str, positions: tuple[int, ...], number: Column) -> Column:
+    key = number.cast("long")
     for k in positions:
         key = F.shiftleft(key, 8).bitwiseOR(_byte(c, k))
     return key
@@ -154,12 +182,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(nodes: DataFrame, split_at: int = 512) -> DataFrame:
-    """(u, v): links that connect all distinct fingerprints ``fp`` of ``nodes`` at ``RADIUS`` bits or fewer."""
+    """(u, v): links that connect all distinct fingerprints ``fp`` of ``nodes`` with the same ``k`` at ``RADIUS`` bits or fewer.
+
+    Each k, from 0, has lists of its own: a list's number is k * 8 and that of its positions, above the 24 bits of its bytes.
+    """
 
     def listed(df: DataFrame) -> DataFrame:
         return df.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
 
-    keys = F.array(*[_list_key("fp", c, n) for n, c in enumerate(_KEYS)])
+    keys = F.array(*[_list_key("fp", c, F.col("k") * 8 + n) for n, c in enumerate(_KEYS)])
     postings = nodes.select(F.explode(keys).alias("key"), "fp")
     sizes = cut(postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     found = listed(postings.join(sizes.filter(F.col("n") <= split_at), "key", "left_semi"))
@@ -168,8 +199,9 @@ def links(nodes: DataFrame, split_at: int = 512) -> DataFrame:
         more = []
         for number, c in enumerate(_KEYS):
             rest = [k for k in range(8) if k not in c]
-            five = [_list_key("fp", (*c, *two), number * 10 + i) for i, two in enumerate(combinations(rest, 2))]
-            of_key = postings.filter(F.shiftright("key", 24) == number).join(long_lists, "key", "left_semi")
+            k = F.shiftright("key", 27)
+            five = [_list_key("fp", (*c, *two), k * 80 + number * 10 + i) for i, two in enumerate(combinations(rest, 2))]
+            of_key = postings.filter(F.shiftright("key", 24) % 8 == number).join(long_lists, "key", "left_semi")
             more.append(of_key.select(F.explode(F.array(*five)).alias("key"), "fp"))
         extra = more[0]
         for x in more[1:]:
@@ -178,10 +210,24 @@ def links(nodes: DataFrame, split_at: int = 512) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42, split_at: int = 512) -> DataFrame:
+def _text_links(own: DataFrame, split_at: int) -> DataFrame:
+    """(u, v) between first fingerprints ``id`` whose texts have a k-th fingerprint ``fp`` equal or linked, of rows (id, k, fp).
+
+    Every fingerprint is stood for by the smallest ``id`` that has it, so that the members of a group are never paired.
+    """
+    of = cut(own.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high")))
+    same = own.join(of.filter("low < high"), "fp").filter("id <> low").selectExpr("id u", "low v")
+    found = cut(links(own.select("k", "fp").distinct(), split_at))
+    near = found.join(of.selectExpr("fp u", "low a"), "u").join(of.selectExpr("fp v", "low b"), "v")
+    return same.union(near.selectExpr("a u", "b v"))
+
+
+def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42, split_at: int = 512, count: int = 1) -> DataFrame:
     """Near-duplicate class of each row of ``docs`` (doc_id, text; other columns are not looked at).
 
-    Returns doc_id, fp (signed long) and component_id, the smallest doc_id that a chain of links reaches.
+    Returns doc_id, fp (the first fingerprint, a signed long) and component_id, the smallest doc_id that a chain of links
+    reaches. With a ``count`` above 1 each text has that many fingerprints, and texts are linked if any of them are: a
+    pair whose bits differ with probability p is then found in 1 - (1 - P(B(64, p) <= 3)) ** count of all cases.
 
     * Null, empty and blank texts have fingerprint 0, which is linked like any other.
     * Very long texts are hashed whole; one must fit in a task's memory a few times, as its shingles' hashes do.
@@ -190,9 +236,14 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42,
     * A null doc_id is never the smallest; a class that has no other gets a null component_id.
     * An empty table gives an empty result.
     """
-    fps = cut(fingerprints(docs, words_per_shingle, seed))
+    rows = cut(fingerprints(docs, words_per_shingle, seed, count))
+    fps = rows.select("doc_id", F.col("fps")[0].alias("fp"))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(nodes.select("fp"), split_at))
+    if count == 1:
+        roots = components(links(nodes.select(F.lit(0).alias("k"), "fp"), split_at))
+    else:
+        own = rows.select("fps").distinct().select(F.col("fps")[0].alias("id"), F.posexplode("fps").alias("k", "fp"))
+        roots = components(_text_links(cut(own), split_at))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = cut(rooted)
     # Written first: both sides of the joins below are then plain exchanges, whose hot partitions Spark splits.
