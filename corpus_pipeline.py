@@ -16,6 +16,8 @@ from tidemark.storage import own_folder, remove
 
 #: No SQL can express the first stage, which is a trained classifier.
 ORACLE_SQL = None
+#: The near-duplicate stage: shingles of so many words, and fingerprints of a text of which any may link it.
+WORDS_PER_SHINGLE, FINGERPRINTS = 5, 8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.keep_first(docs)
+    return simhash_dedup.keep_first(docs, words_per_shingle=WORDS_PER_SHINGLE, count=FINGERPRINTS)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
