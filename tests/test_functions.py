@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tidemark.functions import dsp
 from tidemark.functions import stats as S
 from tidemark.functions import text as X
 from tidemark.operators import timeseries as T
+from tidemark.plans import state
 from tidemark.sources import files, history
 
 TITLES = [
@@ -143,6 +145,35 @@ def test_files_are_decoded_and_errors_are_rows(spark, tmp_path):
     assert feats["a.wav"].error is None and feats["broken.wav"].error and feats["broken.wav"].tempo is None
 
 
+class Mapped:
+    """Stands in for a frame and keeps the function that maps it."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.schema = spark, spark.createDataFrame([], "id long").schema
+
+    def select(self, *_):
+        return self
+
+    repartition = select
+
+    def mapInPandas(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_tracks_are_sent_on_a_few_at_a_time(spark, monkeypatch):
+    n = 2 * dsp.TRACKS + 3
+    monkeypatch.setattr(state, "load", lambda *_: Mapped(spark))
+    made = list(state.signals(spark, "").run(iter([pd.DataFrame({"s_suppkey": range(n)})])))
+    assert [len(x) for x in made] == [dsp.TRACKS, dsp.TRACKS, 3]
+    tracks = pd.concat(made)
+    assert list(tracks["id"]) == list(range(n))
+    for f, rows in ((dsp.analyze, 1),):
+        got = list(f(Mapped(spark)).run(iter([tracks])))
+        assert max(map(len, got)) == rows * dsp.TRACKS
+        assert [k for x in got for k in x["id"]] == [k for k in range(n) for _ in range(rows)]
+
+
 # ---- history
 
 

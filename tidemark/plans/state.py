@@ -143,7 +143,7 @@ def signals(spark, sf):
     """Two seconds of clicks and a chord for each supplier, by its key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in dsp.parts(batches):
             made = [dsp.clicks(60 + k % 8 * 20, 2) + dsp.tones([261.63 * 2 ** ((k % 12 + s) / 12) for s in (0, 4, 7)], 2, level=0.2) for k in pdf["s_suppkey"]]
             yield pd.DataFrame({"id": pdf["s_suppkey"], "samples": [y.astype("float32") for y in made]})
 
