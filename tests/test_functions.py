@@ -168,7 +168,7 @@ def test_tracks_are_sent_on_a_few_at_a_time(spark, monkeypatch):
     assert [len(x) for x in made] == [dsp.TRACKS, dsp.TRACKS, 3]
     tracks = pd.concat(made)
     assert list(tracks["id"]) == list(range(n))
-    for f, rows in ((dsp.analyze, 1), (dsp.embed, len(dsp.MODELS))):
+    for f, rows in ((dsp.features_of, 1), (dsp.analyze, 1), (dsp.embed, len(dsp.MODELS))):
         got = list(f(Mapped(spark)).run(iter([tracks])))
         assert max(map(len, got)) == rows * dsp.TRACKS
         assert [k for x in got for k in x["id"]] == [k for k in range(n) for _ in range(rows)]
