@@ -1,5 +1,6 @@
 import corpus_pipeline as P
 from tidemark.llm import lang_id
+from tidemark.llm.common import map_rows
 
 from . import test_decontaminate, test_line_dedup, test_mixing, test_simhash_dedup
 
@@ -46,3 +47,11 @@ def test_stages_equal_plain_versions(spark):
     rows = steps["mixing"](spark, docs, SF).collect()
     test_mixing.check([(d, s["text"], s["source"]) for d, s in got.items()], rows)
     assert sorted(map(tuple, P.run(spark, SF).collect())) == sorted(map(tuple, rows))
+
+
+def test_rows_are_taken_from_a_batch_a_few_at_a_time(spark):
+    def sizes(columns):
+        yield (len(columns[0]),)
+
+    got = map_rows(spark.range(0, 1000, 1, 1), sizes, "n long").collect()
+    assert [r.n for r in got] == [256, 256, 256, 232]

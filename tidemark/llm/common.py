@@ -32,8 +32,15 @@ def count_words(c: Column) -> Column:
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(f"[^{SPACE_CLASS}]+")).cast("long")
 
 
+def few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: a whole batch of texts as Python objects, or sent back at once, takes its size several times over."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, fn: Callable[[list], Iterator[tuple] | list[tuple]], schema: str, batch_rows: int = 4096) -> DataFrame:
-    """Apply ``fn`` to column lists of each Arrow batch; it gives tuples for ``schema``, which are sent in batches."""
+    """Apply ``fn`` to column lists of a few rows of an Arrow batch; it gives tuples for ``schema``, which are sent in batches."""
     names = [x.split()[0] for x in schema.split(",")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "array<double>": pa.list_(pa.float64()), "array<float>": pa.list_(pa.float32()), "array<long>": pa.list_(pa.int64())}
     arrow = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(",")])
@@ -42,7 +49,7 @@ def map_rows(df: DataFrame, fn: Callable[[list], Iterator[tuple] | list[tuple]],
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             held: list[tuple] = []
             for row in fn([c.to_pylist() for c in batch.columns]):
                 held.append(row)

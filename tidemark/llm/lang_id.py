@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, few
 
 #: On sf0.001 and sf0.01 every row is at 0.46 or more of the reference; unlearned languages and gibberish are at 0.36 or less.
 DIMENSIONS, CENTROIDS, SAMPLE_ROWS, REJECT_RATIO = 4096, 4, 256, 0.42
@@ -142,7 +142,7 @@ def classify(docs: DataFrame, model: Model, reject_ratio: float = REJECT_RATIO)
     at, schema = kept.index("text"), docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             langs, scores, rejected = sent.value.predict(batch.column(at).to_pylist(), reject_ratio)
             extra = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([bool(x) for x in rejected], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*kept, "lang_pred", "score", "rejected"])

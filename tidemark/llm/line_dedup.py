@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_BYTES, cut, unused
+from tidemark.llm.common import SPACE_BYTES, cut, few, unused
 
 SLOTS, KICKS = 4, 500
 #: Active keys of a shard when the index is built, and the size up to which filters go to every task.
@@ -283,7 +283,7 @@ class LineIndex:
         schema, min_chars, at = docs.select(*kept).schema, self.min_chars, kept.index("text")
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in few(batches):
                 texts, lines, dropped = batch.column(at).to_pylist(), [], []
                 for i, drop in enumerate(batch.column(len(kept)).to_pylist()):
                     parts = (texts[i] or "").encode().split(b"\n")
