@@ -174,6 +174,20 @@ def test_tracks_are_sent_on_a_few_at_a_time(spark, monkeypatch):
         assert [k for x in got for k in x["id"]] == [k for k in range(n) for _ in range(rows)]
 
 
+def test_features_are_made_in_one_pass_of_python(spark, monkeypatch):
+    monkeypatch.setattr(state, "load", lambda *_: spark.createDataFrame([(k,) for k in range(1, 30)], "s_suppkey long"))
+    got, want = state.audio_features(spark, ""), dsp.features_of(state.signals(spark, ""))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_errors_of_loading_are_rows(spark):
+    tracks = spark.createDataFrame([("a", 1), ("b", 0), ("c", None)], "id string, samples int")
+    got = {r.id: r for r in dsp.features_of(tracks, lambda k: dsp.tones([440 / k], 2)).collect()}
+    assert got["a"].error is None and got["a"].tempo is not None
+    assert "division" in got["b"].error and got["b"].tempo is None and got["c"].error == "no samples"
+
+
 # ---- history
 
 
